@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from polyscan.llm import mixing
+from polyscan.llm import mixing, quality, simhash, toxicity
 
-QUERIES = {"op1_mixing": mixing.op1}
+QUERIES = {
+    "op1_mixing": mixing.op1,
+    "op2_simhash": simhash.op2,
+    "op3_quality": quality.op3,
+    "op6_toxicity": toxicity.op6,
+}
 ORACLES: dict[str, str] = {}

@@ -32,7 +32,7 @@ def test_plan_matches_brute_force_targets_and_comes_near(spark):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), ["a", "b", "é", "Z", None][i * i % 5]) for i in range(400)]
     rows += [(1000 + i, "x y", "tiny") for i in range(2)] + [(None, None, "a"), (7, "", "a"), (5, "q r s", "b"), (5, "q r s", "b")]
     docs = frame(spark, rows)
-    keyed = docs.selectExpr("doc_id AS id", "source").withColumn("size", mixing.size_of(docs["text"]))
+    keyed = docs.withColumn("size", mixing.size_of(docs["text"])).selectExpr("doc_id AS id", "source", "size")
     got = mixing.plan(spark, keyed, fan=8).toPandas()
     assert len(got) == len(rows)
     sizes = {}
