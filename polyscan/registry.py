@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "agg_basic"
+FLAGSHIP = "federated_3way"
 
 
 def register(name: str, oracle: str | None = None):
@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from polyscan.plans import relational  # noqa: E402,F401  fills QUERIES
+from polyscan.plans import relational, sourced  # noqa: E402,F401  they fill QUERIES
