@@ -133,12 +133,12 @@ MISSING = object()
 
 def first(path: str, value, default=None):
     """The first node the path selects."""
-    steps = parse(path)
-    for descend, selectors in steps:  # the usual path of names and indices needs no lists
+    node = value
+    for descend, selectors in parse(path):  # the usual path of names and indices needs no lists
         if descend or len(selectors) > 1 or selectors[0][0] not in ("name", "index"):
             found = find(path, value)
             return found[0] if found else default
-        value = next(_pick(value, selectors[0]), MISSING)
-        if value is MISSING:
+        node = next(_pick(node, selectors[0]), MISSING)
+        if node is MISSING:
             return default
-    return value
+    return node

@@ -125,6 +125,7 @@ class Engine:
         self._count += 1
         cls = "src_" + re.sub(r"\W", "_", name) + f"_{id(self) % 10**8}_{self._count}"
         quoted = ".".join(f"`{p}`" for p in parts)
+        self._share_secrets(scan)
         self.spark.dataSource.register(source_class(cls, scan))
         if len(parts) == 2:
             self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{parts[0]}`")
@@ -133,6 +134,13 @@ class Engine:
         self._names[cls] = name
         self._names[f"{'default.' if len(parts) == 1 else ''}{name}"] = name
 
+    def _share_secrets(self, scan: Scan) -> None:
+        """Gives Python workers the environment variables that a source's authentication names. Options and plans never hold their values."""
+        auth = (getattr(scan, "source", None) or {}).get("auth") or {}
+        for key, name in auth.items():
+            if key.endswith("_env") and name in os.environ:
+                self.spark.sparkContext.environment[name] = os.environ[name]
+
     def bind(self, name: str) -> None:
         """Makes a table known to Spark."""
         if name not in self._providers:
