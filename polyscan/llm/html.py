@@ -43,7 +43,7 @@ CONTAINERS = {"html", "body", "head", "div", "section", "article", "main", "nav"
 DROPPED = {"head", "nav", "footer", "aside", "form", "dialog", "menu", "svg", "object", "select", "button", "search", "header"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar", "status"}
 #: Parts of class and id names that mark what is not the article.
-MARKS = {"ad", "ads", "adbox", "adsense", "advert", "adverts", "advertisement", "advertising", "alert", "announcement", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "feedback", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "privacy", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toc", "toolbar", "topbar", "trending", "widget", "widgets"}
+MARKS = {"ad", "ads", "adbox", "adsense", "advert", "adverts", "advertisement", "advertising", "alert", "announcement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "feedback", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "privacy", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "trending", "widget", "widgets"}
 TALK = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus"}
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A neighbour that shares this part of the page's own text is its copy.
