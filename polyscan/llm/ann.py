@@ -2,10 +2,13 @@
 
 Coarse centroids and the codebooks of the residuals are fit on a bounded sample (SAMPLE vectors, the smallest
 hashes of id). Every distinct vector is indexed: its list, the codes of its residual, its
-ids. A query ranks the centroids by inner product and probes lists until it has PROBES of them and REACH
-vectors; in each block of a list it scores all vectors by asymmetric distance tables (the inner product with the
-centroid plus one table entry per code), and the best RERANK of a block, ties included, are scored exactly in
-double precision. The best of all blocks are the answer.
+ids. A query ranks the centroids by inner product and probes the first lists; in each block of a list it
+scores all vectors by asymmetric distance tables (the inner product with the centroid plus one table entry per
+code), and the best RERANK of a block, with all that come within the tables' usual error of the (k + 1)st, are scored
+exactly in double precision. The best of all blocks are the answer.
+
+How many lists to probe depends on how well the vectors fall into lists, so it is measured: TUNE of the sample's vectors are
+searched by brute force in the sample, and the probes are as many as hold COVER of their true neighbours.
 
 Equal vectors are one index entry with its COPIES smallest ids, which is all an answer can hold, so a vector of a third of all
 rows costs one entry; equal queries are searched once. A long list is cut into blocks of BLOCK entries, each a
@@ -30,7 +33,12 @@ from polyscan.llm.common import shared_table
 K = 20
 SAMPLE = 20_000
 MOST_LISTS = 4096
-PROBES, REACH, RERANK, BLOCK = 32, 4000, 80, 2048
+#: Vectors of a list, on average, and of a block at most; a block's vectors scored exactly for a query.
+LIST, BLOCK, RERANK = 800, 2048, 60
+#: A query's probes hold at least so many entries, so small tables are searched whole.
+REACH = 4000
+#: Sampled queries that fix the number of probes, and the part of their neighbours that the probes must hold.
+TUNE, COVER = 400, 0.97
 COPIES = K + 1
 SUB, WORDS = 4, 256
 
@@ -63,6 +71,20 @@ class Index:
         self.centroids = kmeans(sample, lists)
         rest = self.padded(sample - self.centroids[nearest(sample, self.centroids)])
         self.books = [kmeans(rest[:, m * SUB : (m + 1) * SUB], WORDS, 6) for m in range(self.parts)]
+        few = sample[np.random.default_rng(3).choice(len(sample), min(1000, len(sample)), replace=False)]
+        own, codes = self.encode(few)
+        q = few[:100]
+        coded = self.centroids[own] + np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)[:, : self.dim]
+        self.error = float(np.std(q @ (few - coded).T))  # of an approximate inner product
+
+    def probes(self, sample: np.ndarray, k: int) -> int:
+        """Lists to probe so that COVER of the k nearest within the sample are in them."""
+        q = sample[np.random.default_rng(2).choice(len(sample), min(TUNE, len(sample)), replace=False)]
+        own = nearest(sample, self.centroids)
+        rank = np.argsort(np.argsort(-(q @ self.centroids.T), axis=1, kind="stable"), axis=1)
+        k = min(k + 1, len(sample))
+        depth = [rank[i][own[np.argpartition(-(sample @ v), k - 1)[:k]]] for i, v in enumerate(q)]
+        return int(np.quantile(np.concatenate(depth), COVER)) + 1
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.parts * SUB - self.dim)))
@@ -128,7 +150,7 @@ def _vectors(column) -> np.ndarray:
     return np.frombuffer(b"".join(found), np.float64).reshape(len(found), -1) if found else np.zeros((0, 0))
 
 
-def search(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = K, id: str = "vec_id", vector: str = "embedding", probes: int = PROBES) -> DataFrame:
+def search(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = K, id: str = "vec_id", vector: str = "embedding", probes: int | None = None) -> DataFrame:
     """Queries: rows whose id is divisible by `every`. -> query_id, rank, vec_id, score."""
     if k + 1 > COPIES:
         raise ValueError(f"k is at most {COPIES - 1}")
@@ -145,7 +167,9 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = K,
     entries = shared_table(spark, distinct(rows), "distinct")
     n = entries.count()
     x = np.stack([np.frombuffer(v) for _, v in sample if len(v) == width])
-    index = Index(np.unique(x, axis=0), max(1, min(MOST_LISTS, math.isqrt(n))))
+    x = np.unique(x, axis=0)
+    index = Index(x, max(1, min(MOST_LISTS, max(16, n // LIST), math.isqrt(n))))
+    probes = index.probes(x, k) if probes is None else probes
 
     def encode(batches):
         for batch in batches:
@@ -197,7 +221,11 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = K,
             for start in range(0, len(q), 256):
                 near = index.approximate(q[start : start + 256], left.column("list")[0].as_py(), codes)
                 for i, approx in enumerate(near):
-                    few = np.arange(len(x)) if len(x) <= RERANK else np.flatnonzero(approx >= np.partition(approx, -RERANK)[-RERANK])
+                    if len(x) <= RERANK:
+                        few = np.arange(len(x))
+                    else:  # the best by the tables, and all that these can't tell from the (k + 1)st
+                        best = np.partition(approx, (-RERANK, -k - 1))
+                        few = np.flatnonzero(approx >= min(best[-RERANK], best[-k - 1] - index.error))
                     exact = (x[few] * q[start + i]).sum(axis=1)
                     best = np.lexsort((low[few], -exact))[: k + 1]
                     qs.append(names[start + i])
