@@ -33,9 +33,9 @@ def engine(spark, sources: dict) -> Engine:
 
 EVENT_TYPES = {"event_id": "int64", "ts": "timestamp", "user_id": "int64", "event_type": "string", "value": "float64"}
 EVENT_SQL = """SELECT event_type, count(*) AS n, min(event_id) AS first_id, round(sum(value), 2) AS total, max(epoch_us(ts)) AS last_us
-               FROM events WHERE event_id >= 1000 AND event_id < 4000 GROUP BY event_type"""
+               FROM events WHERE event_id >= 100 AND event_id < 4000 GROUP BY event_type"""
 EVENT_QUERY = """SELECT event_type, count(*) AS n, min(event_id) AS first_id, round(sum(value), 2) AS total, max(unix_micros(ts)) AS last_us
-                 FROM files.events WHERE event_id >= 1000 AND event_id < 4000 GROUP BY event_type"""
+                 FROM files.events WHERE event_id >= 100 AND event_id < 4000 GROUP BY event_type"""
 INDEXED = [{"name": "event_id", "kind": "zone_map"}, {"name": "ts", "kind": "zone_map"}, {"name": "event_type", "kind": "bloom"}]
 
 
