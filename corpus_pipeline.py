@@ -27,7 +27,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A passage of 50 words or more that several documents share stays in the one of the smallest doc_id; n_chars follows the text."""
+    """A passage of 50 words or more that several documents share stays in one of them; n_chars follows the text."""
     out = passages.remove_repeats(spark, docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 

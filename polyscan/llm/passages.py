@@ -9,8 +9,8 @@ with the same two minima. Each run is one record, keyed by the two minimum hashe
 one key in one of BANDS pairs of functions are candidates: an exact repetition meets in all of them, two passages of similarity 0.8
 with probability 0.95.
 
-Records of a key are sorted by a third minimum and the document; each is linked to the one before it and to
-the first with the same third minimum and the first of all, so a passage of a third of all documents costs three links a record and
+Records of a key are sorted by the distance of the two minima and the document; each is linked to the least document of the same
+distance, and that one to the least of all, so a passage of a third of all documents costs one link a record and
 no pairs within the group. Candidate documents are verified on their whole token sequences: the words of all subsequences of
 LENGTH tokens of which at least SHARE are in the other document (similarity 0.8) are the repeated passages.
 
@@ -38,7 +38,9 @@ BANDS = 3
 SHARE = -(-LENGTH * 16 // 18)
 #: Records of a shuffled block group, on average.
 GROUP = 400_000
-RECORD = np.dtype([("key", "<u8"), ("third", "<u4"), ("doc", "<i8")])
+RECORD = np.dtype([("key", "<u8"), ("apart", "<u2"), ("doc", "<i8")])
+#: The lowest bits of a token's hash carry its place, so a minimum tells both.
+PLACE = np.uint64(0xFFFF)
 
 
 class Words:
@@ -89,14 +91,16 @@ def records(t: np.ndarray, doc: int) -> np.ndarray:
     """The records of one document: of each band the runs of starts with the same two minima."""
     if len(t) < LENGTH:
         return np.empty(0, RECORD)
-    least = [minima(mix64(t ^ np.uint64(0xA24BAED4963EE407 * (k + 1) & (2**64 - 1)))) for k in range(2 * BANDS)]
+    place = np.arange(len(t), dtype=np.uint64) & PLACE
+    least = [minima(mix64(t ^ np.uint64(0xA24BAED4963EE407 * (k + 1) & (2**64 - 1))) & ~PLACE | place) for k in range(2 * BANDS)]
     out = []
     for band in range(BANDS):
-        a, b, third = least[2 * band], least[2 * band + 1], least[(2 * band + 2) % (2 * BANDS)]
+        a, b = least[2 * band], least[2 * band + 1]
         at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        a, b = a[at], b[at]
         r = np.empty(len(at), RECORD)
-        r["key"] = mix64(a[at] ^ (b[at] * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(band))
-        r["third"] = third[at] >> np.uint64(32)
+        r["key"] = mix64((a & ~PLACE) ^ ((b & ~PLACE) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(band))
+        r["apart"] = (b - a) & PLACE
         r["doc"] = doc
         out.append(r)
     found = np.concatenate(out)
@@ -134,22 +138,21 @@ def _emit(parts: int):
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs of documents (a > b as numbers) that meet under a key: three links a record at most."""
+    """Pairs of documents (a > b as numbers) that meet under a key: one link a record, and one a distance."""
     x = unblock(table, RECORD)
     order = np.argsort(x["key"], kind="stable")
     x = x[order]
     same = np.r_[False, x["key"][1:] == x["key"][:-1]]
     x = x[same | np.r_[same[1:], False]]
-    x = x[np.lexsort((x["doc"], x["third"], x["key"]))]
+    x = x[np.lexsort((x["doc"], x["apart"], x["key"]))]
     key, doc = x["key"], x["doc"]
     links = []
     if len(x):
         group = np.r_[True, key[1:] != key[:-1]]
-        sub = group | np.r_[True, x["third"][1:] != x["third"][:-1]]
-        first, first_sub = (np.maximum.accumulate(np.where(s, np.arange(len(x)), 0)) for s in (group, sub))
-        before = np.maximum(np.where(group, np.arange(len(x)), np.arange(len(x)) - 1), 0)
-        for to in (before, first, first_sub):
-            links.append(np.stack([doc, doc[to]], 1))
+        sub = group | np.r_[True, x["apart"][1:] != x["apart"][:-1]]
+        first_sub = np.maximum.accumulate(np.where(sub, np.arange(len(x)), 0))
+        least = np.minimum.reduceat(doc, np.flatnonzero(group))[np.cumsum(group) - 1]
+        links = [np.stack([doc, doc[first_sub]], 1), np.stack([doc[sub], least[sub]], 1)]
     pairs = np.concatenate(links) if links else np.zeros((0, 2), np.int64)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     pairs = np.unique(np.stack([pairs.max(1), pairs.min(1)], 1), axis=0) if len(pairs) else pairs
@@ -253,14 +256,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, id: str = "doc_id",
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the passages that a document of smaller id has too; documents left without a word go. Columns of docs.
+    """docs without the passages that another keeps; documents left without a word go. Columns of docs.
 
-    Of linked documents the one of the smaller id keeps the passage, so some document keeps each.
+    Of two linked documents the one of the smaller hash of id and text keeps the passage, so one document keeps each,
+    and reruns agree.
     """
-    known, found = links(spark, docs, id, text)
-    named = found.join(known.select(F.col("rid").alias("a"), F.col("id").alias("ia")), "a").join(known.select(F.col("rid").alias("b"), F.col("id").alias("ib")), "b")
-    later = F.struct(F.col("ia").isNull(), "ia", "a") > F.struct(F.col("ib").isNull(), "ib", "b")
-    cut = named.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("rid"), F.when(later, F.col("a_spans")).otherwise(F.col("b_spans")).alias("spans"))
+    _, found = links(spark, docs, id, text)
+    cut = found.select(F.greatest("a", "b").alias("rid"), F.when(F.col("a") > F.col("b"), F.col("a_spans")).otherwise(F.col("b_spans")).alias("spans"))
     spans = _of_documents(cut).select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
     joined = docs.withColumn("__rid", F.xxhash64(F.col(id), F.col(text))).join(spans, "__rid", "left").select(*[f"`{c}`" for c in docs.columns], "__spans")
     at, names = docs.columns.index(text), docs.columns

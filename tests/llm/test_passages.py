@@ -47,10 +47,13 @@ def test_finds_planted_passages_only(spark):
         assert (s, e) == (30 + i, 100 + i)
     assert got[81].class_id == 80 and got[91].class_id == 90 and got[91].n_words == 100
     cut = {r.doc_id: r.text for r in passages.remove_repeats(spark, df).collect()}
-    assert cut[60] == " ".join(docs[60]) and 91 not in cut and cut[90] == " ".join(docs[90])
-    for i in range(61, 70):
+    whole = [i for i in range(60, 70) if cut[i] == " ".join(docs[i])]
+    assert len(whole) == 1
+    for i in {*range(60, 70)} - {*whole}:
         assert cut[i].split() == docs[i][: 30 + i] + docs[i][100 + i :]
-    for i in (*range(60), 80, 92):
+    assert sorted(cut.keys() & {90, 91}) in ([90], [91])
+    assert sum(cut[i] == " ".join(docs[i]) for i in (80, 81)) == 1
+    for i in (*range(60), 92):
         assert cut[i] == " ".join(docs[i])
     assert cut[93] is None and cut[None] == ""
     assert passages.repeated_passages(spark, df.limit(0)).count() == 0
