@@ -51,14 +51,12 @@ def fingerprint(found: Column) -> Column:
     """The base sketch of an array of digests as text: their number, and of each cell the number and the XOR."""
     bits = F.lit(BASE.bit_length() - 1)
 
-    def cell(c):
-        t, pos = F.floor(c / BASE), F.pmod(c, F.lit(BASE))
-        own = F.filter(found, lambda d: _place(d, t, bits) == pos)
-        x = F.aggregate(own, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))
-        return F.concat(F.lpad(F.hex(F.size(own)), 4, "0"), F.lpad(F.hex(x), 16, "0"))
+    def cell(t: int, pos: int) -> Column:
+        add = lambda a, d: F.when(_place(d, F.lit(t), bits) == pos, F.struct((a["n"] + 1).alias("n"), a["x"].bitwiseXOR(d).alias("x"))).otherwise(a)
+        text = lambda a: F.concat(F.lpad(F.hex(a["n"]), 4, "0"), F.lpad(F.hex(a["x"]), 16, "0"))
+        return F.aggregate(found, F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x")), add, text)
 
-    cells = F.transform(F.sequence(F.lit(0), F.lit(3 * BASE - 1)), cell)
-    return F.lower(F.concat_ws("", F.concat(F.array(F.lpad(F.hex(F.size(found)), 8, "0")), cells)))
+    return F.lower(F.concat(F.lpad(F.hex(F.size(found)), 8, "0"), *[cell(t, pos) for t in range(3) for pos in range(BASE)]))
 
 
 def subtract(pairs: DataFrame, grown: int) -> DataFrame:
@@ -76,24 +74,32 @@ def subtract(pairs: DataFrame, grown: int) -> DataFrame:
 
 
 def peel(cells: Column, bits: Column) -> Column:
-    """struct(cells, keys): the cells that stay, and the digests recovered with n = 1 (of a) or -1 (of b)."""
+    """struct(cells, keys, new): the cells that stay, and the digests recovered with n = 1 (of a) or -1 (of b).
+
+    Odd steps take out the pure cells and put their digests in `new`; even steps take these out of the cells that are
+    left. Each step reads what it needs from the state, so nothing is worked out again for every cell.
+    """
+    kind = f"struct<cells:array<{CELL}>,keys:{KEYS},new:{KEYS}>"
     pure = lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"]) == c["check"])
+    none = F.array().cast(KEYS)
 
-    def round_(state, _):
+    def step(state, k):
         found = F.array_distinct(F.transform(F.filter(state["cells"], pure), lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
+        odd = F.struct(F.filter(state["cells"], lambda c: ~pure(c)).alias("cells"), state["keys"].alias("keys"), found.alias("new"))
 
         def without(c):
-            own = F.filter(found, lambda k: _place(k["key"], c["t"], bits) == c["pos"])
+            own = F.filter(state["new"], lambda d: _place(d["key"], c["t"], bits) == c["pos"])
             return F.aggregate(
                 own, c,
-                lambda a, k: F.struct(a["t"].alias("t"), a["pos"].alias("pos"), (a["n"] - k["n"]).alias("n"), a["key"].bitwiseXOR(k["key"]).alias("key"), a["check"].bitwiseXOR(_check(k["key"])).alias("check")).cast(CELL),
+                lambda a, d: F.struct(a["t"].alias("t"), a["pos"].alias("pos"), (a["n"] - d["n"]).alias("n"), a["key"].bitwiseXOR(d["key"]).alias("key"), a["check"].bitwiseXOR(_check(d["key"])).alias("check")).cast(CELL),
             )
 
-        left = F.filter(F.transform(F.filter(state["cells"], lambda c: ~pure(c)), without), lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
-        return F.when(F.size(found) == 0, state).otherwise(F.struct(left.alias("cells"), F.concat(state["keys"], found).alias("keys"))).cast(f"struct<cells:array<{CELL}>,keys:{KEYS}>")
+        left = F.filter(F.transform(state["cells"], without), lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
+        even = F.struct(left.alias("cells"), F.concat(state["keys"], state["new"]).alias("keys"), none.alias("new"))
+        return F.when(k % 2 == 1, odd.cast(kind)).when(F.size(state["new"]) == 0, state).otherwise(even.cast(kind))
 
-    start = F.struct(cells.alias("cells"), F.array().cast(KEYS).alias("keys")).cast(f"struct<cells:array<{CELL}>,keys:{KEYS}>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
+    start = F.struct(cells.alias("cells"), none.alias("keys"), none.alias("new")).cast(kind)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), start, step)
 
 
 def differences(spark: SparkSession, pairs: DataFrame, rows: int, room: int = ROOM) -> DataFrame:
@@ -106,8 +112,8 @@ def differences(spark: SparkSession, pairs: DataFrame, rows: int, room: int = RO
     out = None
     for attempt in range(TRIES):
         grown = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 2000)
-        done = subtract(left, grown).withColumn("p", peel(F.col("cells"), F.col("bits"))).select("rid", "pair", F.size("p.cells").alias("stuck"), F.col("p.keys").alias("keys"))
-        done = shared_table(spark, done, "peeled")
+        done = subtract(left, grown).select("rid", "pair", peel(F.col("cells"), F.col("bits")).alias("p"))
+        done = shared_table(spark, done, "peeled").select("rid", "pair", F.size("p.cells").alias("stuck"), F.col("p.keys").alias("keys"))
         good = done.where("stuck = 0").select("rid", "pair", "keys")
         out = good if out is None else out.unionByName(good)
         stuck = done.where("stuck > 0").select("rid", "pair")
