@@ -11,7 +11,8 @@ with probability 0.95.
 
 Records of a key are sorted by the distance of the two minima and the document; each is linked to the least document of the same
 distance, and that one to the least of all, so a passage of a third of all documents costs one link a record and
-no pairs within the group. Candidate documents are verified on their whole token sequences: the words of all subsequences of
+no pairs within the group. Where one of these links fails, all members of the key are compared on the tokens of their runs:
+each against all others, unless all its subsequences already repeat and the whole group hangs together (`in_key`). Candidate documents are verified on their whole token sequences: the words of all subsequences of
 LENGTH tokens of which at least SHARE are in the other document (similarity 0.8) are the repeated passages.
 
 Words are ASCII-lower-cased and divided by ASCII white space. Defined results: texts of fewer than 50 words, empty and null texts
@@ -39,6 +40,7 @@ SHARE = -(-LENGTH * 16 // 18)
 #: Records of a shuffled block group, on average.
 GROUP = 400_000
 RECORD = np.dtype([("key", "<u8"), ("apart", "<u2"), ("doc", "<i8")])
+LINKED = np.dtype([("key", "<u8"), ("a", "<i8"), ("b", "<i8")])
 #: The lowest bits of a token's hash carry its place, so a minimum tells both.
 PLACE = np.uint64(0xFFFF)
 
@@ -87,23 +89,30 @@ def minima(h: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return np.minimum(up[:n], down[length - 1 : length - 1 + n])
 
 
-def records(t: np.ndarray, doc: int) -> np.ndarray:
-    """The records of one document: of each band the runs of starts with the same two minima."""
+def runs(t: np.ndarray, doc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of starts with the same two minima, of all bands: records, first and last start."""
     if len(t) < LENGTH:
-        return np.empty(0, RECORD)
+        return np.empty(0, RECORD), np.empty(0, np.int64), np.empty(0, np.int64)
     place = np.arange(len(t), dtype=np.uint64) & PLACE
     least = [minima(mix64(t ^ np.uint64(0xA24BAED4963EE407 * (k + 1) & (2**64 - 1))) & ~PLACE | place) for k in range(2 * BANDS)]
-    out = []
+    out, starts, ends = [], [], []
     for band in range(BANDS):
         a, b = least[2 * band], least[2 * band + 1]
         at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        starts.append(at)
+        ends.append(np.r_[at[1:], len(a)] - 1)
         a, b = a[at], b[at]
         r = np.empty(len(at), RECORD)
         r["key"] = mix64((a & ~PLACE) ^ ((b & ~PLACE) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(band))
         r["apart"] = (b - a) & PLACE
         r["doc"] = doc
         out.append(r)
-    found = np.concatenate(out)
+    return np.concatenate(out), np.concatenate(starts), np.concatenate(ends)
+
+
+def records(t: np.ndarray, doc: int) -> np.ndarray:
+    """The records of one document, one for each key."""
+    found = runs(t, doc)[0]
     return found[np.unique(found["key"], return_index=True)[1]]
 
 
@@ -138,7 +147,10 @@ def _emit(parts: int):
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs of documents (a > b as numbers) that meet under a key: one link a record, and one a distance."""
+    """Pairs of documents (a > b as numbers) that meet under a key: one link a record, and one a distance.
+
+    key is 0 where a key has two documents only: their one pair leaves nothing to compare.
+    """
     x = unblock(table, RECORD)
     order = np.argsort(x["key"], kind="stable")
     x = x[order]
@@ -146,17 +158,133 @@ def _candidates(table: pa.Table) -> pa.Table:
     x = x[same | np.r_[same[1:], False]]
     x = x[np.lexsort((x["doc"], x["apart"], x["key"]))]
     key, doc = x["key"], x["doc"]
-    links = []
+    links, keys = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
     if len(x):
         group = np.r_[True, key[1:] != key[:-1]]
         sub = group | np.r_[True, x["apart"][1:] != x["apart"][:-1]]
         first_sub = np.maximum.accumulate(np.where(sub, np.arange(len(x)), 0))
-        least = np.minimum.reduceat(doc, np.flatnonzero(group))[np.cumsum(group) - 1]
-        links = [np.stack([doc, doc[first_sub]], 1), np.stack([doc[sub], least[sub]], 1)]
-    pairs = np.concatenate(links) if links else np.zeros((0, 2), np.int64)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    pairs = np.unique(np.stack([pairs.max(1), pairs.min(1)], 1), axis=0) if len(pairs) else pairs
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        nth = np.cumsum(group) - 1
+        least = np.minimum.reduceat(doc, np.flatnonzero(group))[nth]
+        key = np.where(np.bincount(nth)[nth] > 2, key, np.uint64(0))
+        links = np.concatenate([np.stack([doc, doc[first_sub]], 1), np.stack([doc[sub], least[sub]], 1)])
+        keys = np.concatenate([key, key[sub]])
+    found = np.empty(len(links), LINKED)
+    found["key"], found["a"], found["b"] = keys, links.max(1), links.min(1)
+    found = np.unique(found[found["a"] != found["b"]])
+    return pa.table({"key": pa.array(found["key"].view(np.int64)), "a": pa.array(found["a"]), "b": pa.array(found["b"])})
+
+
+def _regions(parts: int):
+    """(rid, words, keys) -> the tokens of the document's runs under these keys, dealt by key."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for rid, blob, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                t = tokens(_loose(blob))
+                found, starts, ends = runs(t, rid)
+                low = (t >> np.uint64(32)).astype(np.uint32)
+                at = np.flatnonzero(np.isin(found["key"], np.array(keys, np.int64).view(np.uint64)))
+                of_key: dict[int, set] = {}
+                for k in at.tolist():
+                    of_key.setdefault(int(found["key"][k].view(np.int64)), set()).add((int(starts[k]), int(ends[k])))
+                for key, places in of_key.items():
+                    for s, e in sorted(places):
+                        rows.append((key, rid, low[s : e + LENGTH].tobytes()))
+            if rows:
+                key, rid, blob = zip(*rows)
+                key = np.array(key, np.int64)
+                part = ((mix64(key.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key), pa.array(rid, pa.int64()), pa.array(blob, pa.binary())], ["part", "key", "rid", "region"])
+
+    return run
+
+
+def in_key(docs: list[int], regions: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of documents, of those that meet under a key, which share subsequences there.
+
+    Not all pairs: enough that every subsequence that any other document of the key shares is in a pair with one that does, and that
+    documents hang together by these pairs as they do by all. A token that one document alone has can't be shared, and documents
+    alike in all others are compared as one.
+    """
+    flat, size = np.concatenate(regions), np.array([len(r) for r in regions])
+    of = np.repeat(np.arange(len(docs)), size)
+    names, flat = np.unique(flat, return_inverse=True)
+    who = np.unique(np.array(docs), return_inverse=True)[1].astype(np.int64)
+    pairs = np.unique(flat.astype(np.int64) * len(docs) + who[of])
+    lone = np.bincount(pairs // len(docs), minlength=len(names)) < 2
+    flat = np.where(lone[flat], -1, flat)
+    begin = np.r_[0, np.cumsum(size)]
+    window = np.concatenate([np.arange(b, b + n - LENGTH + 1) for b, n in zip(begin.tolist(), size.tolist())])
+    hits = np.r_[0, np.cumsum(flat >= 0)]
+    window = window[hits[window + LENGTH] - hits[window] >= SHARE]
+    out, reps, alike, twins = [], [], {}, set()
+    live = np.unique(of[window])
+    for k in live.tolist():
+        own = window[np.searchsorted(window, begin[k]) : np.searchsorted(window, begin[k + 1])]
+        part = flat[own[0] : own[-1] + LENGTH]
+        first = alike.setdefault((tuple((own - own[0]).tolist()), part.tobytes()), k)
+        if first == k:
+            reps.append(part)
+        elif docs[first] != docs[k]:
+            out.append((docs[k], docs[first]))
+            twins.add(first)
+    at = sorted(set(alike.values()))
+    if len(at) < 2:
+        return out
+    size = np.array([len(r) for r in reps])
+    begin, flat = np.r_[0, np.cumsum(size)], np.concatenate(reps)
+    window = np.concatenate([np.arange(b, b + n - LENGTH + 1) for b, n in zip(begin.tolist(), size.tolist())])
+    of = np.repeat(np.arange(len(at)), size)[window]
+    hits = np.r_[0, np.cumsum(flat >= 0)]
+    covered = hits[window + LENGTH] - hits[window] < SHARE  # nothing to look for
+    first_of = np.searchsorted(of, np.arange(len(at) + 1))
+    for i, k in enumerate(at):
+        if k in twins:
+            covered[first_of[i] : first_of[i + 1]] = True
+    who = np.array([docs[k] for k in at])
+    root = np.arange(len(at))
+    for one in np.unique(who):  # a document's own runs hang together
+        root[who == one] = np.flatnonzero(who == one)[0]
+    has = np.zeros(len(names) + 1, bool)  # the last for -1
+    for i in range(len(at)):
+        if covered[first_of[i] : first_of[i + 1]].all() and (root == root[i]).all():
+            continue
+        has[reps[i]] = True
+        has[-1] = False
+        hits = np.r_[0, np.cumsum(has[flat])]
+        has[reps[i]] = False
+        good = hits[window + LENGTH] - hits[window] >= SHARE
+        good &= who[of] != who[i]
+        mine = slice(first_of[i], first_of[i + 1])
+        here = window[mine] - begin[i]
+        for j in np.unique(of[good]).tolist():
+            its = slice(first_of[j], first_of[j + 1])
+            if covered[mine].all() and root[j] == root[i] and not (good[its] & ~covered[its]).any():
+                continue
+            has[reps[j]] = True
+            has[-1] = False
+            hits = np.r_[0, np.cumsum(has[reps[i]])]
+            has[reps[j]] = False
+            back = hits[here + LENGTH] - hits[here] >= SHARE
+            if not back.any():
+                continue
+            if root[j] != root[i] or (good[its] & ~covered[its]).any() or (back & ~covered[mine]).any():
+                out.append((int(who[j]), int(who[i])))
+                covered[its] |= good[its]
+                covered[mine] |= back
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _in_keys(table: pa.Table) -> pa.Table:
+    """Pairs of documents (a > b) to verify, from the regions of whole keys."""
+    table = table.sort_by([("key", "ascending"), ("rid", "ascending")])
+    key, rid = table.column("key").to_numpy(), table.column("rid").to_pylist()
+    regions = [np.frombuffer(b, np.uint32) for b in table.column("region").to_pylist()]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
+    found = sorted({(max(p), min(p)) for s, e in zip(at, at[1:]) for p in in_key(rid[s:e], regions[s:e])})
+    return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
 
 def shared_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -217,13 +345,26 @@ def links(spark: SparkSession, docs: DataFrame, id: str, text: str) -> tuple[Dat
         table = shared_table(spark, table.groupBy("rid").agg(F.first("id").alias("id"), F.first("words").alias("words")), "tokens")
     size = table.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = max(48, int(size * 0.15) // GROUP)
-    pairs = table.select("rid", "words").mapInArrow(_emit(parts), BLOCKS).groupBy("part").applyInArrow(_candidates, "a long, b long").distinct()
-    pairs = shared_table(spark, pairs, "candidates")
     own = table.select("rid", "words")
-    joined = pairs.join(own.select(F.col("rid").alias("a"), F.col("words").alias("wa")), "a")
-    joined = joined.join(own.select(F.col("rid").alias("b"), F.col("words").alias("wb")), "b")
-    found = joined.select("a", "b", "wa", "wb").mapInArrow(_verify, LINK)
-    return table.select("rid", "id"), shared_table(spark, found, "links")
+    met = own.mapInArrow(_emit(parts), BLOCKS).groupBy("part").applyInArrow(_candidates, "key long, a long, b long")
+    met = shared_table(spark, met, "candidates")
+    pairs = met.select("a", "b").distinct()
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        joined = pairs.join(own.select(F.col("rid").alias("a"), F.col("words").alias("wa")), "a")
+        joined = joined.join(own.select(F.col("rid").alias("b"), F.col("words").alias("wb")), "b")
+        return shared_table(spark, joined.select("a", "b", "wa", "wb").mapInArrow(_verify, LINK), name)
+
+    found = verified(pairs, "links")
+    # The keys of which a link failed, whole
+    several = met.where("key <> 0")
+    failed = several.join(found.select("a", "b"), ["a", "b"], "left_anti").select("key").distinct()
+    members = several.join(failed, "key", "left_semi")
+    members = members.select("key", F.explode(F.array("a", "b")).alias("rid")).distinct().groupBy("rid").agg(F.collect_list("key").alias("keys"))
+    regions = own.join(members, "rid").select("rid", "words", "keys").mapInArrow(_regions(parts), "part int, key long, rid long, region binary")
+    more = regions.groupBy("part").applyInArrow(_in_keys, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = verified(shared_table(spark, more, "candidates"), "links")
+    return table.select("rid", "id"), found.unionByName(more)
 
 
 def _merge(batches):

@@ -62,3 +62,62 @@ def test_finds_planted_passages_only(spark):
 def test_without_cuts_words_and_the_space_behind_them():
     assert passages.without("  é one\ttwo  three\n", [(1, 2)]) == "  é two  three\n"
     assert passages.without("a b c", [(0, 1), (2, 3)]) == "b "
+
+
+def edited_groups(rng, groups, copies, n):
+    """Copies of passages, each with an edit of its own, between words of their own."""
+    docs = []
+    for _ in range(groups):
+        passage = prose(rng, n)
+        for _ in range(copies):
+            k = rng.randrange(n)
+            docs.append(prose(rng, 30) + passage[:k] + [f"edit{rng.random()}"] + passage[k + 1 :] + prose(rng, 30))
+    return docs
+
+
+def brute_force(docs):
+    """{document: (words in passages that another has, least of its class)} of all pairs."""
+    toks = [passages.tokens(passages.Words()(" ".join(d).encode())) for d in docs]
+    spans, root = {}, list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            a, b = passages.shared_spans(toks[i], toks[j]), passages.shared_spans(toks[j], toks[i])
+            if a and b:
+                spans.setdefault(i, []).extend(a)
+                spans.setdefault(j, []).extend(b)
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return {i: ({w for s, e in x for w in range(s, e)}, root[i]) for i, x in spans.items()}
+
+
+def test_edited_copies_as_by_brute_force(spark):
+    docs = edited_groups(random.Random(3), 4, 60, 55)
+    want = brute_force(docs)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: ({w for x in r.spans for w in range(x.s, x.e)}, r.class_id) for r in passages.repeated_passages(spark, df).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
+    assert sum(len(got[i][0]) for i in got) >= 0.98 * sum(len(w) for w, _ in want.values())
+    assert sum(got[i][1] == want[i][1] for i in got) >= 0.98 * len(want)
+
+
+def test_in_key_covers_and_connects_like_all_pairs():
+    for seed in range(6):
+        rng = random.Random(seed)
+        toks = [passages.tokens(passages.Words()(" ".join(d).encode())) for d in edited_groups(rng, 2, 14, 56) + [prose(rng, 90)]]
+        toks += [toks[0], toks[3]]
+        regions = [(t >> np.uint64(32)).astype(np.uint32) for t in toks]
+        n = len(toks)
+
+        def covered(pairs):
+            good, root = set(), list(range(n))
+            for i, j in pairs:
+                a, b = passages.shared_spans(regions[i], regions[j]), passages.shared_spans(regions[j], regions[i])
+                if a and b:
+                    for k, x, y in ((i, i, j), (j, j, i)):
+                        hit = np.r_[0, np.cumsum(np.isin(regions[x], regions[y]))]
+                        good |= {(k, int(w)) for w in np.flatnonzero(hit[passages.LENGTH :] - hit[: -passages.LENGTH] >= passages.SHARE)}
+                    u, v = sorted((root[i], root[j]))
+                    root = [u if r == v else r for r in root]
+            return good, root
+
+        assert covered(passages.in_key(list(range(n)), regions)) == covered([(i, j) for i in range(n) for j in range(i)])
