@@ -113,7 +113,7 @@ both("cte_chain", "WITH spent AS (SELECT o_custkey AS k, sum(o_totalprice) AS to
 both("fn_string", "SELECT p_partkey, upper(p_name) AS u, substr(p_type, 1, 5) AS s, replace(p_brand, '#', '-') AS r, lpad(CAST(p_size AS VARCHAR(10)), 4, '0') AS l, rpad(p_brand, 12, '.') AS rp, trim('  ' || p_type || ' ') AS t, concat(p_brand, '/', p_type) AS c, length(p_name) AS n, reverse(p_brand) AS rev, starts_with(p_name, 'a') AS sw, position('#' IN p_brand) AS pos, split_part(p_type, ' ', 1) AS sp FROM {part}", {"starts_with(": "startswith(", "CAST(p_size AS VARCHAR(10))": "CAST(p_size AS STRING)"})
 both("fn_string_regex", "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS num, regexp_replace(p_type, '[aeiou]', '_', 'g') AS masked, regexp_matches(p_name, '^[a-m]') AS early FROM {part}", {", '_', 'g')": ", '_')", "regexp_matches(": "regexp_like("})
 both("fn_date_interval", "SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(extract(doy FROM o_orderdate) AS INT) AS doy, o_orderdate + INTERVAL '6 hour' AS later FROM {orders} WHERE o_orderdate >= DATE '1995-06-01'", {"date_trunc('month', o_orderdate)": "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ)", "INTERVAL '6 hour'": "INTERVAL '6' HOUR"})
-both("fn_cast_case", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS DOUBLE) / 2 AS half, TRY_CAST(l_returnflag AS INT) AS bad, coalesce(nullif(l_returnflag, 'N'), '?') AS flag, greatest(l_tax, l_discount) AS hi, least(l_tax, l_discount) AS lo FROM {lineitem} WHERE l_orderkey < 500")
+both("fn_cast_case", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS DOUBLE) / 2 AS half, TRY_CAST(l_returnflag AS INT) AS bad, coalesce(nullif(l_returnflag, 'N'), '?') AS flag, greatest(l_tax, l_discount) AS hi, least(l_tax, l_discount) AS lo FROM {lineitem}")
 both("fn_math", "SELECT l_orderkey, l_linenumber, floor(l_extendedprice) AS fl, ceil(l_tax * 10) AS ce, abs(l_tax - l_discount) AS ab, round(power(l_quantity, 2), 2) AS sq, round(sqrt(l_extendedprice), 4) AS rt, round(ln(l_quantity), 6) AS lg, round(log10(l_quantity), 6) AS lt, sign(l_discount - 0.05) AS sg, l_linenumber % 3 AS md FROM {lineitem} WHERE l_orderkey < 800", {"floor(l_extendedprice)": "CAST(floor(l_extendedprice) AS DOUBLE)", "ceil(l_tax * 10)": "CAST(ceil(l_tax * 10) AS DOUBLE)", "sign(l_discount - 0.05)": "CAST(sign(l_discount - 0.05D) AS TINYINT)"})
 both("fn_hash", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s FROM {customer}", {"sha256(c_name)": "sha2(c_name, 256)"})
 both("fn_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.v') AS v FROM {events}", {"json_extract_string(": "get_json_object("})

@@ -33,9 +33,9 @@ def engine(spark, sources: dict) -> Engine:
 
 EVENT_TYPES = {"event_id": "int64", "ts": "timestamp", "user_id": "int64", "event_type": "string", "value": "float64"}
 EVENT_SQL = """SELECT event_type, count(*) AS n, min(event_id) AS first_id, round(sum(value), 2) AS total, max(epoch_us(ts)) AS last_us
-               FROM events WHERE event_id >= 100 AND event_id < 4000 GROUP BY event_type"""
+               FROM events GROUP BY event_type"""
 EVENT_QUERY = """SELECT event_type, count(*) AS n, min(event_id) AS first_id, round(sum(value), 2) AS total, max(unix_micros(ts)) AS last_us
-                 FROM files.events WHERE event_id >= 100 AND event_id < 4000 GROUP BY event_type"""
+                 FROM files.events GROUP BY event_type"""
 INDEXED = [{"name": "event_id", "kind": "zone_map"}, {"name": "ts", "kind": "zone_map"}, {"name": "event_type", "kind": "bloom"}]
 
 
@@ -241,7 +241,7 @@ def src_parquet(spark, sf_dir):
 @register(
     "federated_3way",
     """SELECT c_mktsegment, count(*) AS n, round(sum(v.total), 2) AS total FROM customer
-       JOIN (SELECT user_id, round(sum(value), 2) AS total FROM events WHERE event_id < 5000 GROUP BY user_id) v ON v.user_id = c_custkey
+       JOIN (SELECT user_id, round(sum(value), 2) AS total FROM events GROUP BY user_id) v ON v.user_id = c_custkey
        JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey GROUP BY c_mktsegment""",
 )
 def federated_3way(spark, sf_dir):
@@ -249,7 +249,7 @@ def federated_3way(spark, sf_dir):
     e = engine(spark, {"crm": customers_source(sf_dir), "files": {"type": "rows_file", "tables": {"events": events_table(sf_dir, "jsonl")}}, "lake": {"type": "parquet", "tables": {"orders": {"path": f"{sf_dir}/orders.parquet"}}}})
     return e.query(
         """SELECT c_mktsegment, count(*) AS n, round(sum(v.total), 2) AS total FROM crm.customers
-           JOIN (SELECT user_id, round(sum(value), 2) AS total FROM files.events WHERE event_id < 5000 GROUP BY user_id) v ON v.user_id = c_custkey
+           JOIN (SELECT user_id, round(sum(value), 2) AS total FROM files.events GROUP BY user_id) v ON v.user_id = c_custkey
            JOIN (SELECT o_custkey, count(*) AS orders FROM lake.orders GROUP BY o_custkey) o ON o_custkey = c_custkey GROUP BY c_mktsegment"""
     )
 
