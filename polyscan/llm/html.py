@@ -1,17 +1,17 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into blocks of text, its lines. Pages are ordered by host and URL path, and each page is aligned with
-its neighbours of the same host by the longest common subsequence of their lines: shared lines are the
+its neighbours of the same host, two on each side, by the longest common subsequence of their lines: shared lines are the
 site's template and are deleted. What a site fills in anew for each page (menus of other links, rotating adverts)
 no neighbour shares, so the markup also counts: elements that are navigation, headers, footers, sidebars, forms, notices,
 adverts or comments by name, role or class are dropped, as are blocks of links outside an article.
 
-Two departures keep articles whole. Lines inside an explicit article (article, main, itemprop articleBody) are not
-deleted for being shared, since licences and quoted passages recur in articles of one host; and a neighbour that
+Two departures keep articles whole. A line inside an explicit article (article, main, itemprop articleBody) is deleted
+only if two neighbours share it, since quoted passages recur in articles of one host; and a neighbour that
 shares most of a page's own lines is a copy of the page, not its template, and is not subtracted.
 
 The neighbour is found on short rows of line hashes, range-partitioned over all hosts, so that a host of a third of all
-pages is spread over tasks; the first and last row of every partition meet in a second small step.
+pages is spread over tasks; the first and last two rows of every partition meet in a second small step.
 
 Defined results: null or empty html and pages without main text give an empty string and 0; a null or
 malformed url belongs to host '' and is handled like any; repeated rows give equal results; other columns
@@ -216,8 +216,8 @@ def shared_lines(a: dict, b: dict) -> tuple[list[int], list[int]]:
 
 
 LINES = "host string, path string, key long, lines array<long>, sizes array<int>"
-STEP = "pid int, edge int, host string, key long, lines array<long>, sizes array<int>, gone array<int>"
-_STEP = pa.schema([("pid", pa.int32()), ("edge", pa.int32()), ("host", pa.string()), ("key", pa.int64()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("gone", pa.list_(pa.int32()))])
+STEP = "pid int, edge int, host string, key long, other long, lines array<long>, sizes array<int>, gone array<int>"
+_STEP = pa.schema([("pid", pa.int32()), ("edge", pa.int32()), ("host", pa.string()), ("key", pa.int64()), ("other", pa.int64()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("gone", pa.list_(pa.int32()))])
 
 
 def _lines(batches):
@@ -233,26 +233,31 @@ def _lines(batches):
 
 
 def _neighbours(batches):
-    """Rows in order -> lines to delete (edge 0), and the first (1) and last (2) row of the partition."""
-    pid, before, first = TaskContext.get().partitionId(), None, True
+    """Rows in order -> lines to delete (edge 0), and the first (1, 2) and last (3, 4) two rows of the partition."""
+    pid, before, n = TaskContext.get().partitionId(), [], 0
 
-    def row(page, edge, gone=()):
-        return {"pid": pid, "edge": edge, "host": page["host"], "key": page["key"], "lines": page["lines"] if edge else [], "sizes": page["sizes"] if edge else [], "gone": list(gone)}
+    def row(page, edge, gone=(), other=None):
+        return {"pid": pid, "edge": edge, "host": page["host"], "key": page["key"], "other": other, "lines": page["lines"] if edge else [], "sizes": page["sizes"] if edge else [], "gone": list(gone)}
 
     for batch in batches:
         out = []
         for page in batch.to_pylist():
-            if first:
-                out.append(row(page, 1))
-                first = False
-            if before is not None and before["host"] == page["host"]:
-                a, b = shared_lines(before, page)
-                out += [row(p, 0, g) for p, g in ((before, a), (page, b)) if g]
-            before = page
+            if n < 2:
+                out.append(row(page, n + 1))
+            for near in before:
+                if near["host"] == page["host"]:
+                    a, b = shared_lines(near, page)
+                    out += [row(p, 0, g, q["key"]) for p, q, g in ((near, page, a), (page, near, b)) if g]
+            before = [*before[-1:], page]
+            n += 1
         if out:
             yield pa.RecordBatch.from_pylist(out, _STEP)
-    if before is not None:
-        yield pa.RecordBatch.from_pylist([row(before, 2)], _STEP)
+    last = before[-(n - 2) :] if n > 2 else []
+    if last:
+        yield pa.RecordBatch.from_pylist([row(page, 5 - len(last) + k) for k, page in enumerate(last)], _STEP)
+
+
+_GONE = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("gone", pa.list_(pa.int32()))])
 
 
 def _edges(batches):
@@ -260,33 +265,34 @@ def _edges(batches):
         out = []
         for r in batch.to_pylist():
             a, b = ({"lines": r[f"lines{k}"], "sizes": r[f"sizes{k}"]} for k in (1, 2))
-            out += [{"key": k, "gone": g} for k, g in zip((r["key1"], r["key2"]), shared_lines(a, b)) if g]
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("key", pa.int64()), ("gone", pa.list_(pa.int32()))]))
+            keys = r["key1"], r["key2"]
+            out += [{"key": k, "other": o, "gone": g} for k, o, g in zip(keys, keys[::-1], shared_lines(a, b)) if g]
+        yield pa.RecordBatch.from_pylist(out, _GONE)
 
 
 def template_lines(spark: SparkSession, keyed: DataFrame, url: str, page: str) -> DataFrame:
-    """keyed (__key, url, page) -> (__key, gone): the places of the lines that a nearest page of the host shares."""
+    """keyed (__key, url, page) -> (__key, gone, sure): the places of the lines that one and that several near pages of the host share."""
     lines = keyed.select("__key", url, page).mapInArrow(_lines, LINES)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = lines.repartitionByRange(parts, "host", "path", "key").sortWithinPartitions("host", "path", "key").mapInArrow(_neighbours, STEP)
     steps = shared_table(spark, steps, "neighbours")
-    # Two rows a partition: the last of one and the first of the next
+    # Four rows a partition at most: the last two of one and the first two of the next
     order = Window.orderBy("pid", "edge")
     ends = steps.where("edge > 0")
-    pairs = ends.select("edge", "host", F.col("key").alias("key1"), F.col("lines").alias("lines1"), F.col("sizes").alias("sizes1"), *[F.lead(c).over(order).alias(n) for c, n in (("edge", "e2"), ("host", "h2"), ("key", "key2"), ("lines", "lines2"), ("sizes", "sizes2"))])
-    pairs = pairs.where("edge = 2 AND e2 = 1 AND host = h2").select("key1", "lines1", "sizes1", "key2", "lines2", "sizes2")
-    gone = steps.where("edge = 0").select("key", "gone").unionByName(pairs.mapInArrow(_edges, "key long, gone array<int>"))
-    single = gone.select(F.col("key").alias("__key"), F.explode("gone").alias("g")).distinct()
-    return single.groupBy("__key").agg(F.collect_list("g").alias("gone"))
+    gone = steps.where("edge = 0").select("key", "other", "gone")
+    for ahead in (1, 2):
+        pairs = ends.select("pid", "host", F.col("key").alias("key1"), F.col("lines").alias("lines1"), F.col("sizes").alias("sizes1"), *[F.lead(c, ahead).over(order).alias(n) for c, n in (("pid", "p2"), ("host", "h2"), ("key", "key2"), ("lines", "lines2"), ("sizes", "sizes2"))])
+        pairs = pairs.where("p2 > pid AND host = h2").select("key1", "lines1", "sizes1", "key2", "lines2", "sizes2")
+        gone = gone.unionByName(pairs.mapInArrow(_edges, "key long, other long, gone array<int>"))
+    single = gone.select(F.col("key").alias("__key"), "other", F.explode("gone").alias("g")).distinct().groupBy("__key", "g").agg(F.count("*").alias("n"))
+    return single.groupBy("__key").agg(F.collect_list("g").alias("gone"), F.collect_list(F.when(F.col("n") > 1, F.col("g"))).alias("sure"))
 
 
-def main_text(page: str | None, gone=()) -> str:
-    """The page's main text, without the lines whose places are given unless an explicit article holds them."""
-    found, gone = blocks(page), set(gone)
-    article = [b for b in found if b.main and not b.dropped]
-    if not article:
-        article = [b for k, b in enumerate(found) if not b.dropped and not b.linked and k not in gone]
-    return "\n".join(b.text for b in article)
+def main_text(page: str | None, gone=(), sure=()) -> str:
+    """The page's main text: in an explicit article all lines but those in sure, elsewhere all but those in gone and blocks of links."""
+    gone, sure = set(gone), set(sure)
+    kept = [b for k, b in enumerate(blocks(page)) if not b.dropped and (k not in sure if b.main else k not in gone and not b.linked)]
+    return "\n".join(b.text for b in kept)
 
 
 def extract(spark: SparkSession, pages: DataFrame, url: str = "url", page: str = "html", keep=("page_id", "url")) -> DataFrame:
@@ -294,12 +300,12 @@ def extract(spark: SparkSession, pages: DataFrame, url: str = "url", page: str =
     chosen = pages.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(url).alias("__url"), F.col(page).alias("__html"))
     keyed = chosen.withColumn("__key", F.xxhash64(*chosen.columns))
     gone = template_lines(spark, keyed, "__url", "__html")
-    joined = keyed.join(gone, "__key", "left").select(*[f"__k{i}" for i in range(len(keep))], "__html", "gone")
+    joined = keyed.join(gone, "__key", "left").select(*[f"__k{i}" for i in range(len(keep))], "__html", "gone", "sure")
 
     def run(batches):
         for batch in batches:
             n = len(keep)
-            texts = [main_text(h, g or ()) for h, g in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
+            texts = [main_text(h, g or (), sure or ()) for h, g, sure in zip(*(batch.column(n + k).to_pylist() for k in range(3)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     kinds = ", ".join(f"`{c}` {joined.schema[f'__k{i}'].dataType.simpleString()}" for i, c in enumerate(keep))

@@ -64,3 +64,22 @@ def test_differencing_removes_what_neighbours_share(spark):
 def test_articles_keep_shared_lines(spark, sf_dir):
     for r in html.op4(spark, sf_dir).collect():
         assert r.n_chars == len(r.text) and "\n\n" not in r.text
+
+
+def test_differencing_decides_in_articles_too(spark):
+    def site(i):
+        own = "".join(f"<p>{LONG * 2}{k} of page {i}</p>" for k in range(2))
+        quoted = "<p>A passage quoted on two pages.</p>" if i in (3, 4) else ""
+        return f"<body><article><p>Our great site</p>{own}{quoted}<p>Read us daily</p></article><p>Below the article {i}</p></body>"
+
+    teaser = [(50 + i, f"https://t.example/{i}", f"<article><p>Teaser {i}</p></article><div>{LONG * 3}body {i}</div>") for i in range(3)]
+    pages = spark.createDataFrame([(i, f"https://a.example/x/{i:03d}", site(i)) for i in range(9)] + teaser, "page_id long, url string, html string")
+    for parts in (1, 4):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = {r.page_id: r.text.split("\n") for r in html.extract(spark, pages).collect()}
+        for i in range(9):
+            quoted = ["A passage quoted on two pages."] if i in (3, 4) else []
+            assert got[i] == [f"{LONG * 2}{k} of page {i}" for k in range(2)] + quoted + [f"Below the article {i}"], (i, parts)
+        for i in range(3):
+            assert got[50 + i] == [f"Teaser {i}", f"{LONG * 3}body {i}"]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
