@@ -79,6 +79,7 @@ def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order, each with what the markup says about it."""
     out: list[Block] = []
     page = page or ""
+    last_quote = page.rfind('"')
     stack: list[tuple[str, bool, bool]] = []
     dropped = main = False
     buffer: list[str] = []
@@ -116,7 +117,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag, closing, attributes = tag.lower(), found.group(1) == "/", found.group(3)
         if not closing and attributes.count('"') % 2:  # a '>' inside quotes
-            end = page.find(">", page.find('"', at) + 1) if '"' in page[at : at + 2000] else -1
+            end = page.find(">", page.find('"', at) + 1) if at <= last_quote else -1
             if end >= 0:
                 attributes += ">" + page[at:end]
                 at = end + 1

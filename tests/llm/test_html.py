@@ -83,3 +83,8 @@ def test_differencing_decides_in_articles_too(spark):
         for i in range(3):
             assert got[50 + i] == [f"Teaser {i}", f"{LONG * 3}body {i}"]
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_long_attribute_does_not_leak():
+    assert html.main_text(f'<div data-x="{"a > b, " * 2000}"><p>Words</p></div>') == "Words"
+    assert html.main_text('<div title="never > closed><p>Words</p></div>') == "closed>\nWords"
