@@ -1,10 +1,8 @@
-"""Substring dedup by compact windows.
+"""Substring dedup by sliding minima of token hashes.
 
-A text is a sequence of tokens, its shingles of SHINGLE = 5 words. For a hash function, the Cartesian tree of
-the token hashes groups all subsequences by their minimum: a node's compact window holds every subsequence
-whose least hash is the node's. Of these only the subsequences of the least length LENGTH count here, since any longer
-repeated passage contains them; a node then owns a run of starts, and has one only if its window is that long,
-which leaves about 2 / LENGTH nodes a token. The windows of two functions intersect into runs of starts
+A text is a sequence of tokens, its shingles of SHINGLE = 5 words. Only its subsequences of exactly LENGTH tokens count, since any longer
+repeated passage contains them: fixed-length minima stand in for compact windows, without Cartesian trees or interval joins. For
+a hash function, the least hash of every subsequence is a running minimum; the minima of two functions change together in runs of starts
 with the same two minima. Each run is one record, keyed by the two minimum hashes. Documents that meet under
 one key in one of BANDS pairs of functions are candidates: an exact repetition meets in all of them, two passages of similarity 0.8
 with probability 0.95.
