@@ -29,6 +29,8 @@ def test_nbest_matches_brute_force():
         every = brute(p, t)
         got = p.nbest(t, 6)
         assert [s for s, _ in got] == pytest.approx([s for s, _ in every[:6]])
+        lengths = lambda ids: [len(p.bytes[i].decode()) for i in reversed(ids)]
+        assert all(a[0] > b[0] + 1e-9 or lengths(a[1]) < lengths(b[1]) for a, b in zip(got, got[1:]) if b"\xc3" not in b"".join(p.bytes[i] for i in a[1] if len(p.bytes[i]) == 1))
         assert len({tuple(i) for _, i in got}) == len(got)
 
 
@@ -39,8 +41,31 @@ def test_texts_agree_with_the_whole_lattice_and_round_trip():
     for t, found in zip(texts, p.encode_all(texts)):
         whole = p.nbest(" " + t, 4) if t else [(0.0, [])]
         assert [s for s, _ in found] == pytest.approx([s for s, _ in whole])
+        assert found[0][1] == whole[0][1]
         for _, ids in found:
             assert p.decode(ids) == t
+    flat, at, scores, same = p.best_all(texts)
+    assert same.all() and [flat[s:e].tolist() for s, e in zip(at, at[1:])] == [p.encode(t)[0][1] for t in texts]
+    assert scores == [pytest.approx([s for s, _ in p.encode(t)]) for t in texts]
+
+
+def test_the_table_of_words_may_be_emptied_at_any_time(monkeypatch):
+    texts = [" ".join(f"w{k % 13}x{k * 7}" for k in range(j, j + 30)) for j in range(20)]
+    p = pieces.Pieces(pieces.load())
+    want = [p.nbest(" " + t)[0] for t in texts]
+    monkeypatch.setattr(pieces, "KNOWN", 40)
+    got = [p.encode_all(texts[k : k + 2]) for k in range(0, 20, 2)]
+    assert [f[0] for g in got for f in g] == want
+
+
+def test_columns_of_the_same_name_give_way(spark):
+    docs = spark.createDataFrame([(1, "a b", 9, "q"), (2, None, 8, "r")], "doc_id long, text string, N_pieces int, decoded string")
+    out = pieces.decode(pieces.encode(docs))
+    assert out.columns == ["doc_id", "text", "piece_ids", "n_pieces", "piece_score", "nbest_scores", "round_trip", "decoded"]
+    rows = out.orderBy("doc_id").collect()
+    assert rows[0].decoded == "a b" and rows[0].n_pieces == len(rows[0].piece_ids) and rows[1].decoded is None and rows[1].nbest_scores is None
+    odd = spark.createDataFrame([("a b", 9)], "piece_ids string, n int")
+    assert pieces.encode(odd, "piece_ids").first().round_trip
 
 
 def test_encode_and_decode_frames(spark):
