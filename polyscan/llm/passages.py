@@ -1,21 +1,29 @@
-"""Substring dedup by sliding minima of token hashes.
+"""Substring dedup by compact windows.
 
-A text is a sequence of tokens, its shingles of SHINGLE = 5 words. Only its subsequences of exactly LENGTH tokens count, since any longer
-repeated passage contains them: fixed-length minima stand in for compact windows, without Cartesian trees or interval joins. For
-a hash function, the least hash of every subsequence is a running minimum; the minima of two functions change together in runs of starts
-with the same two minima. Each run is one record, keyed by the two minimum hashes. Documents that meet under
-one key in one of BANDS pairs of functions are candidates: an exact repetition meets in all of them, two passages of similarity 0.8
-with probability 0.95.
+A text is a sequence of tokens, its shingles of SHINGLE = 5 words. Passages have LENGTH tokens or more (50 words). For each hash function, the
+Cartesian tree of the token hashes groups the subsequences by their least hash: a node at token c with the smaller tokens l - 1
+and r + 1 nearest to it on both sides is the compact window (l, c, r), of all subsequences that begin in l..c and end in
+c..r. Only nodes whose window holds LENGTH tokens count. They are the top of the tree, and just the minima of the
+subsequences of LENGTH tokens, so running minima find them and a stack joins them to the tree.
+
+Two functions' windows of a text are joined by interval: where they overlap in a subsequence of LENGTH tokens around both minima, all
+its subsequences there share both least hashes. That is one record, keyed by the two hashes. Documents that meet under one
+key in one of BANDS pairs of functions are candidates: an exact repetition meets in all of them, two passages of similarity
+0.8 with probability 0.95. Longer subsequences need no records, as they hold one of LENGTH tokens.
 
 Records of a key are sorted by the distance of the two minima and the document; each is linked to the least document of the same
 distance, and that one to the least of all, so a passage of a third of all documents costs one link a record and
-no pairs within the group. Where one of these links fails, all members of the key are compared on the tokens of their runs:
-each against all others, unless all its subsequences already repeat and the whole group hangs together (`in_key`). Candidate documents are verified on their whole token sequences: the words of all subsequences of
-LENGTH tokens of which at least SHARE are in the other document (similarity 0.8) are the repeated passages.
+no pairs within the group. A task does so with its own records first, so a key has a few records of each task behind the
+shuffle. Where one of these links fails, all members of the key are compared on the tokens of their windows:
+each against all others, unless all its subsequences already repeat and the whole group hangs together (`in_key`).
+
+Candidate documents are verified passage against passage: a subsequence of LENGTH tokens counts if SHARE of its tokens (similarity
+0.8) stand within LENGTH tokens of the other document; the words of all that count are the repeated passages.
 
 Words are ASCII-lower-cased and divided by ASCII white space. Defined results: texts of fewer than 50 words, empty and null texts
-have no passages; rows of equal id and text count as one document; a null id has passages like any; repetition
-within one document does not count; other columns are not read.
+have no passages; texts of any length that fits a task are compared whole; equal hashes within a window go to the token that
+comes first; rows of equal id and text count as one document; a null id has passages like any; repetition within one
+document does not count; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyscan.llm.common import BLOCKS, blocks, components, mix64, shared_table, unblock
+from polyscan.llm.common import blocks, components, mix64, shared_table
 
 SHINGLE = 5
 #: Tokens of a subsequence: with 5 words a token, passages of 50 words.
@@ -87,31 +95,71 @@ def minima(h: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return np.minimum(up[:n], down[length - 1 : length - 1 + n])
 
 
-def runs(t: np.ndarray, doc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of starts with the same two minima, of all bands: records, first and last start."""
+def tree(value: list[int], place: list[int], first: list[int], last: list[int]) -> tuple[list[int], list[int]]:
+    """The windows [l, r] of the nodes at `place`, in order, of the Cartesian trees of several texts; first, last: of the node's text."""
+    left, right, stack = [0] * len(value), list(last), []
+    begin = -1
+    for k, v in enumerate(value):
+        if first[k] != begin:
+            begin, stack = first[k], []
+        while stack and value[stack[-1]] > v:
+            right[stack.pop()] = place[k] - 1
+        left[k] = place[stack[-1]] + 1 if stack else begin
+        stack.append(k)
+    return left, right
+
+
+def joined(t: np.ndarray, begin: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The joint windows of all bands of texts with tokens t[begin[k] : begin[k + 1]]: records, first and last start of LENGTH tokens."""
     if len(t) < LENGTH:
         return np.empty(0, RECORD), np.empty(0, np.int64), np.empty(0, np.int64)
+    of = np.repeat(np.arange(len(docs)), np.diff(begin))
+    starts = np.arange(len(t) - LENGTH + 1)
+    starts = starts[of[starts] == of[starts + LENGTH - 1]]
     place = np.arange(len(t), dtype=np.uint64) & PLACE
-    least = [minima(mix64(t ^ np.uint64(0xA24BAED4963EE407 * (k + 1) & (2**64 - 1))) & ~PLACE | place) for k in range(2 * BANDS)]
-    out, starts, ends = [], [], []
+
+    def windows(k: int):
+        h = mix64(t ^ np.uint64(0xA24BAED4963EE407 * (k + 1) & (2**64 - 1))) & ~PLACE | place
+        c = starts + ((minima(h)[starts] - starts.astype(np.uint64)) & PLACE).astype(np.int64)
+        c = c[np.flatnonzero(np.r_[True, c[1:] != c[:-1]])] if len(c) else c
+        own = of[c]
+        least = h[c] & ~PLACE
+        # equal hashes: the earlier token is the less
+        l, r = tree(least.tolist(), c.tolist(), begin[own].tolist(), (begin[own + 1] - 1).tolist())
+        return least, c, np.array(l, np.int64), np.array(r, np.int64)
+
+    out, lows, highs = [], [], []
     for band in range(BANDS):
-        a, b = least[2 * band], least[2 * band + 1]
-        at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        starts.append(at)
-        ends.append(np.r_[at[1:], len(a)] - 1)
-        a, b = a[at], b[at]
-        r = np.empty(len(at), RECORD)
-        r["key"] = mix64((a & ~PLACE) ^ ((b & ~PLACE) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(band))
-        r["apart"] = (b - a) & PLACE
-        r["doc"] = doc
+        a, b = windows(2 * band), windows(2 * band + 1)
+        lo, hi = np.searchsorted(b[1], a[1] - LENGTH + 1), np.searchsorted(b[1], a[1] + LENGTH)
+        many = hi - lo
+        i = np.repeat(np.arange(len(many)), many)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many - lo, many)
+        ca, cb = a[1][i], b[1][j]
+        low = np.maximum(np.maximum(a[2][i], b[2][j]), np.maximum(ca, cb) - LENGTH + 1)
+        high = np.minimum(np.minimum(ca, cb), np.minimum(a[3][i], b[3][j]) - LENGTH + 1)
+        real = np.flatnonzero((low <= high) & (of[ca] == of[cb]))
+        r = np.empty(len(real), RECORD)
+        r["key"] = mix64(a[0][i[real]] ^ (b[0][j[real]] * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(band))
+        r["apart"] = (cb - ca)[real].astype(np.int16).view(np.uint16)
+        r["doc"] = docs[of[ca[real]]]
         out.append(r)
-    return np.concatenate(out), np.concatenate(starts), np.concatenate(ends)
+        lows.append(low[real])
+        highs.append(high[real])
+    return np.concatenate(out), np.concatenate(lows), np.concatenate(highs)
 
 
-def records(t: np.ndarray, doc: int) -> np.ndarray:
-    """The records of one document, one for each key."""
-    found = runs(t, doc)[0]
-    return found[np.unique(found["key"], return_index=True)[1]]
+def all_tokens(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of several texts one after another, and where each text's begin."""
+    size = np.array([len(w) for w in words], np.int64)
+    t = tokens(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+    end = np.cumsum(size)
+    inside = np.ones(len(t), bool)
+    for k in range(1, SHINGLE):  # shingles across two texts
+        over = end - k
+        inside[over[(over >= 0) & (over < len(t))]] = False
+    of = np.repeat(np.arange(len(words)), size)[: len(t)]
+    return t[inside], np.searchsorted(of[inside], np.arange(len(words) + 1))
 
 
 def _tokenise(batches):
@@ -125,50 +173,81 @@ def _loose(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32)
 
 
+def _dealt(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix64(keys) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+
 def _emit(parts: int):
+    """(rid, words) -> rows (part, block, links): records dealt by key; those that meet within the task as links, but for the least."""
+
+    def made(held: list, docs: list) -> list[pa.RecordBatch]:
+        t, begin = all_tokens(held)
+        return joined(t, begin, np.array(docs, np.int64))[0]
+
+    def batch_of(records: list):
+        found, least = star(np.concatenate(records))
+        block, near = blocks(least["key"], least, parts), blocks(found["key"], found, parts)
+        none = lambda n: pa.nulls(n, pa.binary())
+        names = ["part", "block", "links"]
+        yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), none(block.num_rows)], names)
+        yield pa.RecordBatch.from_arrays([near.column(0), none(near.num_rows), near.column(1)], names)
+
     def run(batches):
+        records, count = [], 0
         for batch in batches:
-            held, size = [], 0
-            for rid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                r = records(tokens(_loose(blob)), rid)
-                held.append(r)
-                size += len(r)
-                if size > 1_000_000:
-                    x = np.concatenate(held)
-                    yield blocks(x["key"], x, parts)
-                    held, size = [], 0
-            if size:
-                x = np.concatenate(held)
-                yield blocks(x["key"], x, parts)
+            held, docs, size = [], [], 0
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for k, (rid, blob) in enumerate(rows):
+                held.append(_loose(blob))
+                docs.append(rid)
+                size += len(held[-1])
+                if size > 200_000 or k == len(rows) - 1:
+                    records.append(made(held, docs))
+                    count += len(records[-1])
+                    held, docs, size = [], [], 0
+                    if count > 1_500_000:
+                        yield from batch_of(records)
+                        records, count = [], 0
+        if count:
+            yield from batch_of(records)
 
     return run
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs of documents (a > b as numbers) that meet under a key: one link a record, and one a distance.
+def star(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records -> links (a > b as numbers) of documents that meet under a key, and the least record of each key and distance.
 
-    key is 0 where a key has two documents only: their one pair leaves nothing to compare.
+    One link a record, to the least document of the same distance, and one a distance, to the least of all.
     """
-    x = unblock(table, RECORD)
-    order = np.argsort(x["key"], kind="stable")
-    x = x[order]
-    same = np.r_[False, x["key"][1:] == x["key"][:-1]]
-    x = x[same | np.r_[same[1:], False]]
     x = x[np.lexsort((x["doc"], x["apart"], x["key"]))]
+    if not len(x):
+        return np.empty(0, LINKED), x
     key, doc = x["key"], x["doc"]
-    links, keys = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-    if len(x):
-        group = np.r_[True, key[1:] != key[:-1]]
-        sub = group | np.r_[True, x["apart"][1:] != x["apart"][:-1]]
-        first_sub = np.maximum.accumulate(np.where(sub, np.arange(len(x)), 0))
-        nth = np.cumsum(group) - 1
-        least = np.minimum.reduceat(doc, np.flatnonzero(group))[nth]
-        key = np.where(np.bincount(nth)[nth] > 2, key, np.uint64(0))
-        links = np.concatenate([np.stack([doc, doc[first_sub]], 1), np.stack([doc[sub], least[sub]], 1)])
-        keys = np.concatenate([key, key[sub]])
-    found = np.empty(len(links), LINKED)
-    found["key"], found["a"], found["b"] = keys, links.max(1), links.min(1)
-    found = np.unique(found[found["a"] != found["b"]])
+    group = np.r_[True, key[1:] != key[:-1]]
+    sub = group | np.r_[True, x["apart"][1:] != x["apart"][:-1]]
+    first_sub = np.maximum.accumulate(np.where(sub, np.arange(len(x)), 0))
+    least = np.minimum.reduceat(doc, np.flatnonzero(group))[np.cumsum(group) - 1]
+    a, b = np.concatenate([doc, doc[sub]]), np.concatenate([doc[first_sub], least[sub]])
+    differ = a != b
+    a, b, keys = a[differ], b[differ], np.concatenate([key, key[sub]])[differ]
+    found = np.empty(len(a), LINKED)
+    found["key"], found["a"], found["b"] = keys, np.maximum(a, b), np.minimum(a, b)
+    return np.unique(found), x[sub]
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Pairs of documents (a > b as numbers) that meet under a key.
+
+    key is 0 where a key has two documents only: their one pair leaves nothing to compare.
+    """
+    records = [np.frombuffer(x, RECORD) for x in table.column("block").to_pylist() if x]
+    known = [np.frombuffer(x, LINKED) for x in table.column("links").to_pylist() if x]
+    found = np.unique(np.concatenate([star(np.concatenate(records))[0] if records else np.empty(0, LINKED), *known]))
+    both = np.empty(2 * len(found), np.dtype([("key", "<u8"), ("doc", "<i8")]))
+    both["key"], both["doc"] = np.tile(found["key"], 2), np.concatenate([found["a"], found["b"]])
+    keys, count = np.unique(np.unique(both)["key"], return_counts=True)
+    if len(found):
+        found["key"] = np.where(count[np.searchsorted(keys, found["key"])] > 2, found["key"], np.uint64(0))
     return pa.table({"key": pa.array(found["key"].view(np.int64)), "a": pa.array(found["a"]), "b": pa.array(found["b"])})
 
 
@@ -180,7 +259,7 @@ def _regions(parts: int):
             rows = []
             for rid, blob, keys in zip(*(c.to_pylist() for c in batch.columns)):
                 t = tokens(_loose(blob))
-                found, starts, ends = runs(t, rid)
+                found, starts, ends = joined(t, np.array([0, len(t)]), np.array([rid]))
                 low = (t >> np.uint64(32)).astype(np.uint32)
                 at = np.flatnonzero(np.isin(found["key"], np.array(keys, np.int64).view(np.uint64)))
                 of_key: dict[int, set] = {}
@@ -192,7 +271,7 @@ def _regions(parts: int):
             if rows:
                 key, rid, blob = zip(*rows)
                 key = np.array(key, np.int64)
-                part = ((mix64(key.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                part = _dealt(key.view(np.uint64), parts)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key), pa.array(rid, pa.int64()), pa.array(blob, pa.binary())], ["part", "key", "rid", "region"])
 
     return run
@@ -285,13 +364,56 @@ def _in_keys(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
 
+def _within(q: list[np.ndarray]) -> bool:
+    """Whether SHARE of a subsequence's tokens, with the places q of each, stand within LENGTH tokens."""
+    places = sorted((p, k) for k, own in enumerate(q) for p in own.tolist())
+    held: dict[int, int] = {}
+    low = 0
+    for p, k in places:
+        held[k] = held.get(k, 0) + 1
+        while places[low][0] <= p - LENGTH:
+            k0 = places[low][1]
+            held[k0] -= 1
+            if not held[k0]:
+                del held[k0]
+            low += 1
+        if len(held) >= SHARE:
+            return True
+    return False
+
+
+def shared_starts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The subsequences of LENGTH tokens of a of which SHARE stand within LENGTH tokens of b, and which tokens of a are in b."""
+    order = np.argsort(b, kind="stable")
+    sorted_b = b[order]
+    lo, hi = np.searchsorted(sorted_b, a, "left"), np.searchsorted(sorted_b, a, "right")
+    hit = hi > lo
+    total = np.r_[0, np.cumsum(hit)]
+    good = np.flatnonzero(total[LENGTH:] - total[:-LENGTH] >= SHARE)
+    sure = np.zeros(len(good), bool)
+    for of in (lo, hi - 1):  # by the first places in b, then the last
+        q = np.where(hit, order[np.minimum(of, len(b) - 1)], 1 << 40)
+        views = np.lib.stride_tricks.sliding_window_view(q, LENGTH)
+        left = np.flatnonzero(~sure)
+        for at in range(0, len(left), 4096):
+            some = left[at : at + 4096]
+            rows = np.sort(views[good[some]], axis=1)
+            for s in range(LENGTH - SHARE + 1):
+                sure[some] |= (rows[:, s + SHARE - 1] - rows[:, s] < LENGTH) & (rows[:, s + SHARE - 1] < 1 << 40)
+        if not (hi - lo > 1).any():
+            break
+    several = np.r_[0, np.cumsum(hi - lo > 1)]
+    for k in np.flatnonzero(~sure & (several[good + LENGTH] > several[good])).tolist():
+        at = range(good[k], good[k] + LENGTH)
+        sure[k] = _within([order[lo[p] : hi[p]] for p in at])
+    return good[sure], hit
+
+
 def shared_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches of words [start, end) of a whose every subsequence of LENGTH tokens has SHARE tokens in b."""
+    """Stretches of words [start, end) of a of which b has a passage of similarity 0.8."""
     if len(a) < LENGTH or len(b) < LENGTH:
         return []
-    hit = np.isin(a, b)
-    total = np.r_[0, np.cumsum(hit)]
-    good = np.flatnonzero(total[LENGTH:] - total[:-LENGTH] >= SHARE)
+    good, hit = shared_starts(a, b)
     out: list[list[int]] = []
     for i in good.tolist():
         if out and i <= out[-1][1]:
@@ -344,7 +466,7 @@ def links(spark: SparkSession, docs: DataFrame, id: str, text: str) -> tuple[Dat
     size = table.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = max(48, int(size * 0.15) // GROUP)
     own = table.select("rid", "words")
-    met = own.mapInArrow(_emit(parts), BLOCKS).groupBy("part").applyInArrow(_candidates, "key long, a long, b long")
+    met = own.mapInArrow(_emit(parts), "part int, block binary, links binary").groupBy("part").applyInArrow(_candidates, "key long, a long, b long")
     met = shared_table(spark, met, "candidates")
     pairs = met.select("a", "b").distinct()
 
@@ -379,19 +501,18 @@ def _of_documents(rows: DataFrame) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document with a passage that another has too: id, class_id, n_links, n_words, spans.
+    """One row for each document with a passage that another has too: id, class_id, n_words, spans.
 
     spans are words [s, e) of the text; class_id is the smallest id of the documents linked to it, directly or not.
     """
     known, found = links(spark, docs, id, text)
     both = found.select(F.col("a").alias("rid"), F.col("a_spans").alias("spans")).unionByName(found.select(F.col("b").alias("rid"), F.col("b_spans").alias("spans")))
     spans = _of_documents(both)
-    degree = both.groupBy("rid").agg(F.count("*").alias("n_links"))
     named = shared_table(spark, components(spark, found).withColumnRenamed("node", "rid").join(known, "rid"), "named")
     low = shared_table(spark, named.groupBy("root").agg(F.min("id").alias("class_id")), "lows")
     words = F.aggregate("spans", F.lit(0), lambda n, x: n + x["e"] - x["s"])
-    out = named.join(low, "root").join(spans, "rid").join(degree, "rid")
-    return out.select(F.col("id").alias(id), "class_id", "n_links", words.alias("n_words"), "spans")
+    out = named.join(low, "root").join(spans, "rid")
+    return out.select(F.col("id").alias(id), "class_id", words.alias("n_words"), "spans")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
