@@ -1,21 +1,22 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into blocks of text, its lines. Pages are ordered by host and URL path, and each page is aligned with
-its neighbours of the same host, two on each side, by the longest common subsequence of their lines: shared lines are the
+its neighbours of the same host, two on each side that are not its copies, by the longest common subsequence of their lines: shared lines are the
 site's template and are deleted. What a site fills in anew for each page (menus of other links, rotating adverts)
 no neighbour shares, so the markup also counts: elements that are navigation, headers, footers, sidebars, forms, notices,
 adverts or comments by name, role or class are dropped, as are blocks of links outside an article.
 
 Two departures keep articles whole. A line inside an explicit article (article, main, itemprop articleBody) is deleted
 only if two neighbours share it, since quoted passages recur in articles of one host; and a neighbour that
-shares most of a page's own lines is a copy of the page, not its template, and is not subtracted.
+shares most of a page in lines as long as the rest is a copy of the page, not its template: it is not subtracted, and the
+next page takes its place.
 
 The neighbour is found on short rows of line hashes, range-partitioned over all hosts, so that a host of a third of all
 pages is spread over tasks; the first and last two rows of every partition meet in a second small step.
 
 Defined results: null or empty html and pages without main text give an empty string and 0; a null or
 malformed url belongs to host '' and is handled like any; repeated rows give equal results; other columns
-are not read.
+are not read. Pages of any length are taken whole; equal urls are in the order of a hash of the row; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -81,6 +83,7 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     last_quote = page.rfind('"')
     stack: list[tuple[str, bool, bool]] = []
+    count: Counter[str] = Counter()  # of open elements by name
     dropped = main = False
     buffer: list[str] = []
     linked = plain = links = 0
@@ -95,6 +98,10 @@ def blocks(page: str | None) -> list[Block]:
             buffer.clear()
         linked = plain = 0
 
+    def close(k):
+        count.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     def take(text):
         nonlocal linked, plain
         buffer.append(text)
@@ -137,19 +144,19 @@ def blocks(page: str | None) -> list[Block]:
         if tag not in CONTAINERS or tag in VOID or attributes.endswith("/"):
             continue
         if closing:
+            if not count[tag]:
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if tag == "span" and (stack[k][1] != (stack[k - 1][1] if k else False)):
                         flush()
-                    del stack[k:]
+                    close(k)
                     break
-            else:
-                continue
         else:
-            if tag in ("p", "li", "td"):  # an open one ends here, unless a list or table stands between
+            if tag in ("p", "li", "td") and count[tag]:  # an open one ends here, unless a list or table stands between
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] not in ("span", "p"):
                         break
@@ -158,6 +165,7 @@ def blocks(page: str | None) -> list[Block]:
             if own and not dropped and tag == "span":
                 flush()
             stack.append((tag, dropped or own, (main or article) and not own))
+            count[tag] += 1
         dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     flush()
     return out
@@ -173,19 +181,30 @@ def place(url: str | None) -> tuple[str, str]:
 
 
 def common(a: list, b: list) -> list[tuple[int, int]]:
-    """A longest common subsequence of a and b as pairs of places (Hunt and Szymanski)."""
+    """A longest common subsequence of a and b as pairs of places.
+
+    By Hunt and Szymanski, whose steps are the places where a line of a is in b; by rows of bits, each line of a against all
+    of b at once, where repeated lines make these more than the rows.
+    """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     places: dict = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        places.setdefault(b[j], []).append(j)
+    for j in range(len(y) - 1, -1, -1):
+        places.setdefault(y[j], []).append(j)
+    steps = sum(len(places.get(v, ())) for v in x)
+    middle = _by_rows(x, y, places) if steps > 8 * (len(x) + len(y)) else _by_places(x, places)
+    return [(i, i) for i in range(head)] + [(i + head, j + head) for i, j in middle] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def _by_places(x: list, places: dict) -> list[tuple[int, int]]:
     ends, last = [], []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
+    for i, v in enumerate(x):
+        for j in places.get(v, ()):
             k = bisect_left(ends, j)
             link = (i, j, last[k - 1] if k else None)
             if k == len(ends):
@@ -193,27 +212,53 @@ def common(a: list, b: list) -> list[tuple[int, int]]:
                 last.append(link)
             else:
                 ends[k], last[k] = j, link
-    middle, link = [], last[-1] if last else None
+    out, link = [], last[-1] if last else None
     while link:
-        middle.append((link[0], link[1]))
+        out.append((link[0], link[1]))
         link = link[2]
-    return [(i, i) for i in range(head)] + middle[::-1] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    return out[::-1]
+
+
+def _by_rows(x: list, y: list, places: dict) -> list[tuple[int, int]]:
+    """Bit j of a row is 0 where the subsequence grows with y[j]."""
+    masks = {v: sum(1 << j for j in at) if len(at) < 64 else int("".join("1" if w == v else "0" for w in reversed(y)), 2) for v, at in places.items()}
+    full = (1 << len(y)) - 1
+    row, rows = full, []
+    for v in x:
+        met = row & masks.get(v, 0)
+        row = ((row + met) | (row - met)) & full
+        rows.append(row)
+    out, i, j = [], len(x), len(y)
+    bits = [format(r, f"0{len(y)}b")[::-1] for r in rows] if len(x) * len(y) < 1 << 26 else None
+    zero = (lambda i, j: bits[i][j] == "0") if bits else (lambda i, j: not rows[i] >> j & 1)
+    while i and j:
+        if not zero(i - 1, j - 1):
+            j -= 1
+        elif i > 1 and zero(i - 2, j - 1):
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
-def shared_lines(a: dict, b: dict) -> tuple[list[int], list[int]]:
-    """Places of the template's lines in two neighbouring pages; none where one is a copy of the other.
+def shared_lines(a: dict, b: dict) -> tuple[list[int], list[int], bool]:
+    """Places of the template's lines in two neighbouring pages, none where one is a copy of the other, and whether one is.
 
-    A page is {"lines": hashes, "sizes": characters, negative where the markup drops the line anyway}.
+    A page is {"lines": hashes, "sizes": characters, negative where the markup drops the line anyway}. Copies share most of a page, and
+    in lines as long as those that they don't share; a template may be most of a page too, but its lines are short beside an article's.
     """
     pairs = common(a["lines"], b["lines"])
     out = []
     for side, page in ((0, a), (1, b)):
-        own = sum(s for s in page["sizes"] if s > 0)
-        shared = sum(page["sizes"][p[side]] for p in pairs if page["sizes"][p[side]] > 0)
-        if own and shared >= COPY * own and len(page["lines"]) > 1:
-            return [], []
+        kept = [s for s in page["sizes"] if s > 0]
+        shared = [page["sizes"][p[side]] for p in pairs if page["sizes"][p[side]] > 0]
+        own, most = sum(kept), sum(shared)
+        rest = (own - most) / max(1, len(kept) - len(shared))
+        if own and most >= COPY * own and most / len(shared) >= rest / 2 and len(page["lines"]) > 1:
+            return [], [], True
         out.append([p[side] for p in pairs if page["sizes"][p[side]] > 0])
-    return out[0], out[1]
+    return out[0], out[1], False
 
 
 LINES = "host string, path string, key long, lines array<long>, sizes array<int>"
@@ -234,8 +279,12 @@ def _lines(batches):
 
 
 def _neighbours(batches):
-    """Rows in order -> lines to delete (edge 0), and the first (1, 2) and last (3, 4) two rows of the partition."""
-    pid, before, n = TaskContext.get().partitionId(), [], 0
+    """Rows in order -> lines to delete (edge 0), and the first (1, 2) and last (3, 4) two rows of the partition.
+
+    A page is aligned with the two nearest before it that are not copies of it or of each other. Copies at the head of a host wait for the
+    first page that is none.
+    """
+    pid, before, waiting, ends, n = TaskContext.get().partitionId(), [], [], [], 0
 
     def row(page, edge, gone=(), other=None):
         return {"pid": pid, "edge": edge, "host": page["host"], "key": page["key"], "other": other, "lines": page["lines"] if edge else [], "sizes": page["sizes"] if edge else [], "gone": list(gone)}
@@ -245,15 +294,28 @@ def _neighbours(batches):
         for page in batch.to_pylist():
             if n < 2:
                 out.append(row(page, n + 1))
-            for near in before:
-                if near["host"] == page["host"]:
-                    a, b = shared_lines(near, page)
-                    out += [row(p, 0, g, q["key"]) for p, q, g in ((near, page, a), (page, near, b)) if g]
+            if before and before[-1]["host"] != page["host"]:
+                before, waiting = [], []
+            copy_of = None
+            for k, near in enumerate(before):
+                a, b, copy = shared_lines(near, page)
+                copy_of = k if copy else copy_of
+                out += [row(p, 0, g, q["key"]) for p, q, g in ((near, page, a), (page, near, b)) if g]
+            if copy_of is None:
+                for old in waiting:
+                    a, _, copy = shared_lines(old, page)
+                    out += [row(old, 0, a, page["key"])] if a else []
+                waiting = []
+            elif len(before) == 1:
+                waiting.append(before[0])
+            if copy_of is not None:
+                del before[copy_of]
             before = [*before[-1:], page]
+            ends = [*ends[-1:], page]
             n += 1
         if out:
             yield pa.RecordBatch.from_pylist(out, _STEP)
-    last = before[-(n - 2) :] if n > 2 else []
+    last = ends[-(n - 2) :] if n > 2 else []
     if last:
         yield pa.RecordBatch.from_pylist([row(page, 5 - len(last) + k) for k, page in enumerate(last)], _STEP)
 
@@ -267,13 +329,13 @@ def _edges(batches):
         for r in batch.to_pylist():
             a, b = ({"lines": r[f"lines{k}"], "sizes": r[f"sizes{k}"]} for k in (1, 2))
             keys = r["key1"], r["key2"]
-            out += [{"key": k, "other": o, "gone": g} for k, o, g in zip(keys, keys[::-1], shared_lines(a, b)) if g]
+            out += [{"key": k, "other": o, "gone": g} for k, o, g in zip(keys, keys[::-1], shared_lines(a, b)[:2]) if g]
         yield pa.RecordBatch.from_pylist(out, _GONE)
 
 
 def template_lines(spark: SparkSession, keyed: DataFrame, url: str, page: str) -> DataFrame:
     """keyed (__key, url, page) -> (__key, gone, sure): the places of the lines that one and that several near pages of the host share."""
-    lines = keyed.select("__key", url, page).mapInArrow(_lines, LINES)
+    lines = shared_table(spark, keyed.select("__key", url, page).mapInArrow(_lines, LINES), "lines")  # else the range partition parses twice
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = lines.repartitionByRange(parts, "host", "path", "key").sortWithinPartitions("host", "path", "key").mapInArrow(_neighbours, STEP)
     steps = shared_table(spark, steps, "neighbours")

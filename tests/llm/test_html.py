@@ -1,4 +1,5 @@
 import random
+import time
 
 from polyscan.llm import html
 
@@ -40,6 +41,41 @@ def test_common_is_a_longest_common_subsequence():
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
 
 
+def test_common_with_many_repeated_lines():
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ([rng.randrange(2) for _ in range(rng.randrange(60))] for _ in range(2))
+        places = {v: [j for j in reversed(range(len(b))) if b[j] == v] for v in set(b)}
+        for got in (html._by_rows(a, b, places) if a and b else [], html._by_places(a, places)) if a and b else ():
+            assert len(got) == brute_lcs(a, b) and all(a[i] == b[j] for i, j in got)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+    began = time.process_time()
+    a, b = ([rng.randrange(3) for _ in range(8000)] for _ in range(2))
+    assert len(html.common(a, b)) > 5000
+    assert html.main_text("<span>x" * 20_000 + "</div></li>" * 20_000 + "<p>y" * 20_000).count("y") == 20_000
+    assert time.process_time() - began < 20
+
+
+def test_copies_are_passed_over_and_a_template_may_be_most_of_a_page(spark):
+    top = "".join(f"<div>Item {k} of menu</div>" for k in range(12))
+
+    def site(i, text):
+        return f"<body>{top}<div>{text}</div><div>Imprint and rights</div></body>"
+
+    same = "".join(f"</div><div>{LONG * 3}{k} of the copied story" for k in range(9))
+    rows = [(i, f"https://a.example/{i}", site(i, f"{LONG}of story number {i}, short as it is")) for i in range(5)]
+    rows += [(10 + i, f"https://c.example/a{i}", site(i, f"{LONG * 2}Copy number {i}" + same)) for i in range(6)]
+    rows += [(30, "https://c.example/b", site(9, f"{LONG * 4}of its own"))]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    got = {r.page_id: r.text for r in html.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for i in range(5):
+        assert got[i] == f"{LONG}of story number {i}, short as it is"
+    for i in range(6):
+        assert got[10 + i].startswith(f"{LONG * 2}Copy number {i}\n") and got[10 + i].count("copied story") == 9 and "Imprint" not in got[10 + i], i
+    assert got[30] == f"{LONG * 4}of its own"
+
+
 def test_differencing_removes_what_neighbours_share(spark):
     def site(i):
         own = "".join(f"<div>{LONG * 3}{k} of page {i}</div>" for k in range(4))
