@@ -384,28 +384,69 @@ def _within(q: list[np.ndarray]) -> bool:
 
 def shared_starts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The subsequences of LENGTH tokens of a of which SHARE stand within LENGTH tokens of b, and which tokens of a are in b."""
-    order = np.argsort(b, kind="stable")
+    order = np.argsort(b)
     sorted_b = b[order]
-    lo, hi = np.searchsorted(sorted_b, a, "left"), np.searchsorted(sorted_b, a, "right")
-    hit = hi > lo
+    lo = np.minimum(np.searchsorted(sorted_b, a), len(b) - 1)
+    hit = sorted_b[lo] == a
     total = np.r_[0, np.cumsum(hit)]
     good = np.flatnonzero(total[LENGTH:] - total[:-LENGTH] >= SHARE)
+    if not len(good):
+        return good, hit
+    # Mostly SHARE tokens stand as far from each other as in a
+    ahead = np.where(hit, order[lo] - np.arange(len(a)), 1 << 40)
+    values, count = np.unique(ahead[good[0] : good[-1] + LENGTH], return_counts=True)
     sure = np.zeros(len(good), bool)
-    for of in (lo, hi - 1):  # by the first places in b, then the last
-        q = np.where(hit, order[np.minimum(of, len(b) - 1)], 1 << 40)
-        views = np.lib.stride_tricks.sliding_window_view(q, LENGTH)
+    for v in values[(count >= SHARE) & (values < 1 << 40)].tolist():
+        total = np.r_[0, np.cumsum(ahead == v)]
+        sure |= total[good + LENGTH] - total[good] >= SHARE
+    if sure.all():
+        return good, hit
+    order = np.argsort(b, kind="stable")
+    lo, hi = np.searchsorted(sorted_b, a, "left"), np.searchsorted(sorted_b, a, "right")
+    several = np.r_[0, np.cumsum(hi - lo > 1)]
+    here = np.arange(len(a))
+    # Token by token its places in b, ascending
+    width = len(b) + 2 * LENGTH
+    places = np.searchsorted(sorted_b, sorted_b) * width + order
+
+    def test(q: np.ndarray) -> None:
+        """Marks the subsequences of which SHARE stand together at the places q."""
+        views = np.lib.stride_tricks.sliding_window_view(np.where(hit, q, 1 << 40), LENGTH)
         left = np.flatnonzero(~sure)
         for at in range(0, len(left), 4096):
             some = left[at : at + 4096]
             rows = np.sort(views[good[some]], axis=1)
-            for s in range(LENGTH - SHARE + 1):
-                sure[some] |= (rows[:, s + SHARE - 1] - rows[:, s] < LENGTH) & (rows[:, s + SHARE - 1] < 1 << 40)
-        if not (hi - lo > 1).any():
-            break
-    several = np.r_[0, np.cumsum(hi - lo > 1)]
-    for k in np.flatnonzero(~sure & (several[good + LENGTH] > several[good])).tolist():
-        at = range(good[k], good[k] + LENGTH)
-        sure[k] = _within([order[lo[p] : hi[p]] for p in at])
+            top = rows[:, SHARE - 1 :]
+            sure[some] = ((top - rows[:, : LENGTH - SHARE + 1] < LENGTH) & (top < 1 << 40)).any(axis=1)
+
+    first, last = order[np.minimum(lo, len(b) - 1)], order[np.maximum(hi - 1, 0)]
+    test(first)
+    left = np.flatnonzero(~sure & (several[good + LENGTH] > several[good]))
+    if len(left):
+        test(last)
+        # By the places nearest to where the passage would be if it stood as far ahead as most tokens do
+        values, count = np.unique(np.concatenate([(first - here)[hit], (last - here)[hit]]), return_counts=True)
+        for v in [0, len(b) - len(a), *values[np.argsort(-count, kind="stable")[:6]].tolist()]:
+            want = np.clip(here + v, 0, len(b))
+            up = np.searchsorted(places, lo * width + want)
+            high, low = order[np.clip(up, lo, np.maximum(hi - 1, lo)).clip(max=len(b) - 1)], order[np.clip(up - 1, lo, np.maximum(hi - 1, lo)).clip(max=len(b) - 1)]
+            test(np.where(np.abs(high - want) <= np.abs(low - want), high, low))
+            if sure.all():
+                break
+        # Exactly: a stretch of b misses so few tokens that it has one of the rarest
+        left = np.flatnonzero(~sure & (several[good + LENGTH] > several[good])).tolist()
+        for k in left:
+            own = np.arange(good[k], good[k] + LENGTH)
+            own = own[hit[own]]
+            rare = own[np.argsort(hi[own] - lo[own], kind="stable")[: len(own) - SHARE + 1]]
+            x = np.unique(np.concatenate([order[lo[p] : hi[p]] for p in rare.tolist()]))
+            cut = np.flatnonzero(np.diff(x) >= LENGTH)
+            for s, e in zip(x[np.r_[0, cut + 1]].tolist(), x[np.r_[cut, len(x) - 1]].tolist()):
+                begin = np.searchsorted(places, lo[own] * width + max(0, s - LENGTH + 1))
+                end = np.searchsorted(places, lo[own] * width + e + LENGTH)
+                if np.count_nonzero(end > begin) >= SHARE and _within([order[f:t] for f, t in zip(begin.tolist(), end.tolist())]):
+                    sure[k] = True
+                    break
     return good[sure], hit
 
 

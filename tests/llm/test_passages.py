@@ -73,6 +73,18 @@ def test_passages_are_compared_with_passages():
     assert passages.shared_spans(toks(line), toks(line)) == [(0, 120)]
 
 
+def test_shared_starts_match_brute_force():
+    n, share = passages.LENGTH, passages.SHARE
+    for seed in range(12):
+        rng = random.Random(seed)
+        some = [rng.randrange(1, 60 + 40 * seed) for _ in range(70)]
+        change = lambda x, p: [y for t in x for y in ([t] if rng.random() > p else [] if rng.random() < 0.3 else [rng.randrange(10**6)] * rng.randrange(1, 3))]
+        a = np.array(change(some, 0.02) + [rng.randrange(9) for _ in range(30)] + change(some, 0.05), np.uint64)
+        b = np.array(change(some, 0.12) + some[:35] + change(some, 0.08) + [rng.randrange(9) for _ in range(60)] + some[30:], np.uint64)
+        want = [i for i in range(len(a) - n + 1) if max(np.isin(a[i : i + n], b[j : j + n]).sum() for j in range(max(1, len(b) - n + 1))) >= share]
+        assert passages.shared_starts(a, b)[0].tolist() == want
+
+
 def test_hot_keys_combine_within_a_task():
     x = np.zeros(1000, passages.RECORD)
     x["key"], x["apart"], x["doc"] = 7, np.arange(1000) % 3, np.arange(1000)[::-1]
