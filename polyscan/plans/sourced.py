@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import tempfile
 
 import pyarrow.parquet as pq
 import yaml
+from pyspark.sql import SparkSession
 
 from polyscan.functions import udtf
 from polyscan.plans import stubs
@@ -58,9 +60,20 @@ def event_lines(sf_dir: str, fmt: str) -> tuple[list[str], dict]:
     raise ValueError(fmt)
 
 
+def work_folder() -> str:
+    """A new folder for a query's files: under spark.checkpoint.dir, which all executors see, where that is a path that files can be written to."""
+    spark = SparkSession.getActiveSession()
+    base = (spark.conf.get("spark.checkpoint.dir", None) if spark else None) or ""
+    path = base.removeprefix("file://") if base.startswith("file://") else base.removeprefix("file:")
+    if path.startswith("/"):
+        os.makedirs(path, exist_ok=True)
+        return tempfile.mkdtemp(prefix="files-", dir=path)
+    return tempfile.mkdtemp()
+
+
 def events_table(sf_dir: str, fmt: str) -> dict:
     lines, parser = event_lines(sf_dir, fmt)
-    path = f"{tempfile.mkdtemp()}/events.{fmt}"
+    path = f"{work_folder()}/events.{fmt}"
     with open(path, "w") as f:
         f.write("\n".join(lines) + "\n")
     return {"path": path, "chunk_rows": 1000, "parser": parser, "indexed_columns": INDEXED}
@@ -79,7 +92,7 @@ for _fmt in ("jsonl", "csv", "logfmt", "regex"):
 
 @register("src_syslog", "SELECT CAST(event_id % 24 AS BIGINT) AS facility, CAST(user_id % 8 AS BIGINT) AS severity, count(*) AS n, min(event_type) AS app, max(epoch_us(ts)) AS last_us, CAST(sum(CAST(event_id AS BIGINT)) AS DOUBLE) AS ids FROM events GROUP BY 1, 2")
 def src_syslog(spark, sf_dir):
-    path = f"{tempfile.mkdtemp()}/events.log"
+    path = f"{work_folder()}/events.log"
     with open(path, "w", encoding="utf-8") as f:
         for r in rows_of(sf_dir, "events"):
             f.write(f'<{r["event_id"] % 24 * 8 + r["user_id"] % 8}>1 {stamp(r["ts"])} host{r["user_id"] % 5} {r["event_type"]} {r["event_id"]} - [x@1 k="a\\]b"] ﻿event\n')
@@ -91,7 +104,7 @@ def src_syslog(spark, sf_dir):
 @register("src_glob_pruned", "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) - INTERVAL '3 days' FROM events) AND event_id > 10 GROUP BY event_type")
 def src_glob_pruned(spark, sf_dir):
     """Five files in order of time; the predicate on ts is a literal, so whole files are skipped."""
-    rows, folder = sorted(rows_of(sf_dir, "events"), key=lambda r: r["ts"]), tempfile.mkdtemp()
+    rows, folder = sorted(rows_of(sf_dir, "events"), key=lambda r: r["ts"]), work_folder()
     step = -(-len(rows) // 5)
     for k in range(5):
         with open(f"{folder}/events-{k}.jsonl", "w") as f:
@@ -140,7 +153,7 @@ def src_graphql(spark, sf_dir):
 @register("src_excel", "SELECT s_nationkey AS nation, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier WHERE s_name <> 'nobody' GROUP BY s_nationkey")
 def src_excel(spark, sf_dir):
     rows = rows_of(sf_dir, "supplier")
-    path = f"{tempfile.mkdtemp()}/suppliers.xlsx"
+    path = f"{work_folder()}/suppliers.xlsx"
     write_workbook(path, {"other": [["x"]], "suppliers": [list(rows[0]), *[list(r.values()) for r in rows]]})
     e = engine(spark, {"books": {"type": "excel", "tables": {"suppliers": {"path": path, "sheet": "suppliers"}}}})
     return e.query("SELECT CAST(s_nationkey AS INT) AS nation, count(*) AS n, round(sum(CAST(s_acctbal AS DOUBLE)), 2) AS total FROM books.suppliers WHERE s_name <> 'nobody' GROUP BY s_nationkey")
@@ -277,7 +290,7 @@ def stream_tail(spark, sf_dir):
     from polyscan.streaming.tail import read_stream
 
     lines, parser = event_lines(sf_dir, "jsonl")
-    folder = tempfile.mkdtemp()
+    folder = work_folder()
     path, out = f"{folder}/events.jsonl", f"{folder}/out"
     step = -(-len(lines) // 3)
     scan = rows_file_scan("tail.events", {}, {"path": path, "parser": parser})
@@ -294,7 +307,7 @@ def stream_windows(spark, sf_dir):
     """Tumbling windows with a watermark over the events as a stream; a last row far ahead closes all windows."""
     from polyscan.streaming.tail import tumbling_counts
 
-    folder = tempfile.mkdtemp()
+    folder = work_folder()
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     e.write.parquet(f"{folder}/in/a")
     e.limit(1).selectExpr("event_id", "ts + INTERVAL '1000' DAY AS ts", "user_id", "'end' AS event_type", "value", "props").write.parquet(f"{folder}/in/b")
