@@ -252,27 +252,34 @@ def _candidates(table: pa.Table) -> pa.Table:
 
 
 def _regions(parts: int):
-    """(rid, words, keys) -> the tokens of the document's runs under these keys, dealt by key."""
+    """(rid, words, keys) -> the tokens of the document's windows under these keys, dealt by key."""
+
+    def made(held: list, rids: list, keys: list):
+        t, begin = all_tokens(held)
+        found, starts, ends = joined(t, begin, np.arange(len(held)))
+        names, key = np.unique(np.concatenate(keys).view(np.uint64), return_inverse=True)
+        wanted = np.repeat(np.arange(len(keys)), [len(k) for k in keys]) * len(names) + key
+        rank = np.minimum(np.searchsorted(names, found["key"]), len(names) - 1)
+        at = np.flatnonzero((names[rank] == found["key"]) & np.isin(found["doc"] * len(names) + rank, wanted))
+        places = np.unique(np.stack([found["doc"][at], found["key"][at].view(np.int64), starts[at], ends[at]], 1), axis=0)
+        low = (t >> np.uint64(32)).astype(np.uint32)
+        key = np.ascontiguousarray(places[:, 1])
+        blob = [low[s : e + LENGTH].tobytes() for s, e in zip(places[:, 2].tolist(), places[:, 3].tolist())]
+        rid = np.array(rids, np.int64)[places[:, 0]]
+        return pa.RecordBatch.from_arrays([pa.array(_dealt(key.view(np.uint64), parts)), pa.array(key), pa.array(rid), pa.array(blob, pa.binary())], ["part", "key", "rid", "region"])
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for rid, blob, keys in zip(*(c.to_pylist() for c in batch.columns)):
-                t = tokens(_loose(blob))
-                found, starts, ends = joined(t, np.array([0, len(t)]), np.array([rid]))
-                low = (t >> np.uint64(32)).astype(np.uint32)
-                at = np.flatnonzero(np.isin(found["key"], np.array(keys, np.int64).view(np.uint64)))
-                of_key: dict[int, set] = {}
-                for k in at.tolist():
-                    of_key.setdefault(int(found["key"][k].view(np.int64)), set()).add((int(starts[k]), int(ends[k])))
-                for key, places in of_key.items():
-                    for s, e in sorted(places):
-                        rows.append((key, rid, low[s : e + LENGTH].tobytes()))
-            if rows:
-                key, rid, blob = zip(*rows)
-                key = np.array(key, np.int64)
-                part = _dealt(key.view(np.uint64), parts)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key), pa.array(rid, pa.int64()), pa.array(blob, pa.binary())], ["part", "key", "rid", "region"])
+            held, rids, keys, size = [], [], [], 0
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for n, (rid, blob, some) in enumerate(rows):
+                held.append(_loose(blob))
+                rids.append(rid)
+                keys.append(np.array(some, np.int64))
+                size += len(held[-1])
+                if size > 200_000 or n == len(rows) - 1:
+                    yield made(held, rids, keys)
+                    held, rids, keys, size = [], [], [], 0
 
     return run
 
