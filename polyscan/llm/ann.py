@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inverted file and product quantisation.
 
-Coarse centroids and the codebooks of the residuals are fit on a bounded sample (SAMPLE vectors, the smallest
-hashes of id). Every distinct vector is indexed: its list, the codes of its residual, its
+Coarse centroids and the codebooks of the residuals are fit on a sample (the smallest hashes of id): SAMPLE vectors, or
+TRAIN for each list where that is more, so at most MOST_LISTS * TRAIN. Every distinct vector is indexed: its list, the codes of its residual, its
 ids. A query ranks the centroids by inner product and probes the first lists; in each block of a list it
 scores all vectors by asymmetric distance tables (the inner product with the centroid plus one table entry per
 code), and the best RERANK of a block, with all that come within the tables' usual error of the (k + 1)st, are scored
@@ -12,7 +12,7 @@ searched by brute force in the sample, and the probes are as many as hold COVER
 
 Equal vectors are one index entry with its COPIES smallest ids, which is all an answer can hold, so a vector of a third of all
 rows costs one entry; equal queries are searched once. A long list is cut into blocks of BLOCK entries, each a
-task's group of its own.
+task's group of its own; where more than SLOT queries probe a block, they are dealt to slots, and the block goes to each slot.
 
 Defined results: null, zero or differently long vectors, and those with null or non-finite components, take no part;
 the length is that of most of the sampled vectors. Fewer candidates than k are all returned. Repeated rows count once as a
@@ -32,13 +32,16 @@ from polyscan.llm.common import shared_table
 
 K = 20
 SAMPLE = 20_000
-MOST_LISTS = 4096
+#: Lists grow as the root of the entries up to this bound, and sampled vectors of a list.
+MOST_LISTS, TRAIN = 65_536, 8
 #: Vectors of a list, on average, and of a block at most; a block's vectors scored exactly for a query.
 LIST, BLOCK, RERANK = 800, 2048, 60
 #: A query's probes hold at least so many entries, so small tables are searched whole.
 REACH = 4000
 #: Sampled queries that fix the number of probes, and the part of their neighbours that the probes must hold.
 TUNE, COVER = 400, 0.97
+#: Queries of a block that one task answers, on average, and rows of queries by lists ranked at once.
+SLOT, RANKED = 4096, 256
 COPIES = K + 1
 SUB, WORDS = 4, 256
 
@@ -156,7 +159,8 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = K,
         raise ValueError(f"k is at most {COPIES - 1}")
     rows = shared_table(spark, valid(vectors, id, vector), "vectors")
     size = F.octet_length("v")
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    lists_of = lambda n: max(1, min(MOST_LISTS, max(16, n // LIST), math.isqrt(n)))
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, TRAIN * lists_of(rows.count())))
     sample = [(r.id, bytes(r.v)) for r in some.collect()]
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sample:
@@ -168,7 +172,7 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = K,
     n = entries.count()
     x = np.stack([np.frombuffer(v) for _, v in sample if len(v) == width])
     x = np.unique(x, axis=0)
-    index = Index(x, max(1, min(MOST_LISTS, max(16, n // LIST), math.isqrt(n))))
+    index = Index(x, lists_of(n))
     probes = index.probes(x, k) if probes is None else probes
 
     def encode(batches):
@@ -196,20 +200,23 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = K,
             q = _vectors(batch.column(0))
             lists, blocks, at = [], [], []
             if len(q):
-                order = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")
-                reach = np.cumsum(counts[order], axis=1)
-                enough = np.maximum(np.argmax(reach >= min(REACH, n), axis=1) + 1, min(probes, len(counts)))
-                for i, e in enumerate(enough):
-                    for l in order[i, :e]:
-                        if counts[l]:
-                            lists += [int(l)] * int(cut[l])
-                            blocks += range(int(cut[l]))
-                            at += [i] * int(cut[l])
+                for first in range(0, len(q), RANKED):
+                    order = np.argsort(-(q[first : first + RANKED] @ index.centroids.T), axis=1, kind="stable")
+                    reach = np.cumsum(counts[order], axis=1)
+                    enough = np.maximum(np.argmax(reach >= min(REACH, n), axis=1) + 1, min(probes, len(counts)))
+                    for i, e in enumerate(enough, first):
+                        for l in order[i - first, :e]:
+                            if counts[l]:
+                                lists += [int(l)] * int(cut[l])
+                                blocks += range(int(cut[l]))
+                                at += [i] * int(cut[l])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(lists, pa.int32()), pa.array(blocks, pa.int32())], ["q", "list", "block"])
 
     asked = rows.where(F.col("id") % every == 0)
-    queries = asked.select("v").distinct().mapInArrow(probe, "q binary, list int, block int")
-    dealt = coded.mapInArrow(deal, "v binary, ids array<long>, list int, codes binary, block int")
+    wanted = shared_table(spark, asked.select("v").distinct(), "queries")
+    slots = max(1, -(-wanted.count() // SLOT))  # at least what any block needs, as every query may probe it
+    queries = wanted.mapInArrow(probe, "q binary, list int, block int").withColumn("slot", F.pmod(F.xxhash64("q"), F.lit(slots)))
+    dealt = coded.mapInArrow(deal, "v binary, ids array<long>, list int, codes binary, block int").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         qs, scores, ids = [], [], []
@@ -234,7 +241,7 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 20, k: int = K,
                     ids.append([p[1] for p in pairs])
         return pa.table([pa.array(qs, pa.binary()), pa.array(scores, pa.list_(pa.float64())), pa.array(ids, pa.list_(pa.int64()))], names=["q", "scores", "ids"])
 
-    found = queries.groupBy("list", "block").cogroup(dealt.groupBy("list", "block")).applyInArrow(score, "q binary, scores array<double>, ids array<long>")
+    found = queries.groupBy("list", "block", "slot").cogroup(dealt.groupBy("list", "block", "slot")).applyInArrow(score, "q binary, scores array<double>, ids array<long>")
     best = found.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list(F.transform(F.arrays_zip("scores", "ids"), lambda z: F.struct((-z["scores"]).alias("s"), z["ids"].alias("i")))))), 1, k + 1).alias("best"))
     joined = asked.select("id", F.col("v").alias("q")).distinct().join(shared_table(spark, best, "best"), "q")
     own = F.slice(F.filter("best", lambda z: z["i"] != F.col("id")), 1, k)

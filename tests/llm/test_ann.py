@@ -52,3 +52,12 @@ def test_recall(spark):
     for q, found in got.items():
         exact = dict(want[q])
         assert all(abs(s - exact[i]) < 1e-12 for i, s in found if i in exact)
+
+
+def test_queries_of_a_block_are_dealt_to_slots(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(400)]
+    monkeypatch.setattr(ann, "SLOT", 3)
+    monkeypatch.setattr(ann, "RANKED", 7)
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    assert results(ann.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == brute(rows)
