@@ -102,17 +102,15 @@ class ShardStore:
         return [run for _, run in sorted(tiers.items()) if len(run) >= TIER_RUN]
 
     def compact(self) -> int:
-        """Merges until no tier is due; the version reached. Each round commits, so a lost driver loses one round."""
+        """Merges the lowest tier that is due until none is; the version reached. Each merge commits, so a lost driver loses one."""
         while True:
             now = self.manifest()
-            runs = self.due(now["shards"])
+            runs = [r for r in self.due(now["shards"]) if math.ceil(sum(s["bytes"] for s in r) / self.target) < len(r)]
             if not runs:
                 return now["version"]
-            # Neighbouring tiers that are due merge in one job: their files are of similar size still
-            old = [s for run in runs for s in run]
+            # One tier a round: its shards are of similar size, so the coalesced files are too
+            old = runs[0]
             files = max(1, math.ceil(sum(s["bytes"] for s in old) / self.target))
-            if files >= len(old):
-                return now["version"]
             merged = self._write(self._read(old, now["schema"]).coalesce(files), None)
             gone = {s["path"] for s in old}
             self.commit([*(s for s in now["shards"] if s["path"] not in gone), *merged], now["schema"], now["version"])

@@ -104,3 +104,19 @@ def test_empty_store(spark, tmp_path):
     store.append(docs)
     store.compact()
     assert store.read().count() == 0 and store.read().columns == docs.columns
+
+
+def test_arrivals_merge_tier_by_tier_and_old_versions_stay_readable(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 90)) for i in range(900)], "doc_id long, text string")
+    store = shards.ShardStore(spark, f"file://{tmp_path}/t", target=200_000, arrival_rows=40)
+    parts, seen = docs.randomSplit([1.0] * 4, seed=3), []
+    for k, part in enumerate(parts):
+        store.append(part)
+        seen = sorted(seen + [r.doc_id for r in part.collect()])
+        before, version = store.version(), store.compact()
+        for v in range(before, version):
+            old, new = store.manifest(v)["shards"], {s["path"] for s in store.manifest(v + 1)["shards"]}
+            assert len({s["tier"] for s in old if s["path"] not in new}) == 1 and len(new) < len(old)
+        for v in {before, version}:
+            assert sorted(r.doc_id for r in store.read(v).select("doc_id").collect()) == seen
+    assert not store.due(store.manifest()["shards"]) and sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect()))
