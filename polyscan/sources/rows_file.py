@@ -10,7 +10,6 @@ from typing import Any
 
 import pyarrow as pa
 
-from polyscan import types
 from polyscan.filters import SimpleFilter
 from polyscan.sources import index as ix
 from polyscan.sources.base import BATCH, Scan
@@ -75,7 +74,7 @@ class RowsFileScan(Scan):
         with open(path, "rb") as f:
             for start, end in ranges:
                 f.seek(start)
-                b = types.batch(parser.parse(f.read(end - start), start), self.schema)
+                b = parser.batch(f.read(end - start), start, self.schema)
                 for at in range(0, b.num_rows, BATCH):
                     yield b.slice(at, BATCH)
 

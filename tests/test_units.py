@@ -173,3 +173,20 @@ def test_literals():
     at = dt.datetime(2026, 1, 2, 3, 4, 5, 600000, dt.timezone.utc)
     assert plain(at) == "2026-01-02T03:04:05.600000Z" and plain(True) == "true" and plain(12) == "12"
     assert sql_literal("o'x") == "'o''x'" and sql_literal(1.5) == "1.5" and sql_literal(None) == "NULL"
+
+
+def test_arrow_reads_lines_as_the_parser_does():
+    from polyscan import types
+    from polyscan.sources import parsers
+
+    kinds = {"i": "int64", "f": "float64", "s": "string", "b": "boolean", "t": "timestamp"}
+    parser = parsers.make({"format": "jsonl", "columns": [{"name": k, "path": f"$.{k}", "type": v} for k, v in kinds.items()]})
+    schema = parsers.line_schema(parser.spec)
+    plain = b'{"i":1,"f":2,"s":"\\u00e9\\n","b":true,"t":"2024-01-02T03:04:05.5Z","x":[1]}\n{"s":null,"i":-9223372036854775808}\r\n{}\n'
+    assert parser._plain(plain, schema) == types.batch(parser.parse(plain), schema)
+    odd = [b'{"i":1.0}\n', b'{"i":"1"}\n', b'{"s":5}\n', b'{"i":1,"i":2}\n', b'{"i":9223372036854775808}\n', b'{"f":"x"}\n', b'{"b":0}\n', b'{"t":"2024-01-02T03:04:60Z"}\n', b'{"t":"2024-02-30T00:00:00Z"}\n', b'{"t":"2024-01-02T03:04:05+01:00"}\n', b'{"t":7}\n', b'{"s":"\xff"}\n', b"\n\n", b'{"i":1}\n\n', b"[1]\n", b'{"i":1}\n{"i":', b"  ", b'{"s":{"a":1}}\n', b'{"s":"a"}']
+    for data in odd:
+        assert parser.batch(data, 0, schema) == types.batch(parser.parse(data), schema), data
+    for bad in (b'{"i":1}{"i":2}\n', b"{\n", b'{"i":1}\nx\n{"i":2}\n'):
+        with pytest.raises(parsers.DecodeError):
+            parser.batch(bad, 0, schema)
