@@ -40,7 +40,7 @@ both("count_star", "SELECT count(*) AS n FROM {lineitem}")
 both("join_inner_using", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} JOIN (SELECT c_custkey AS o_custkey, c_mktsegment FROM {customer}) c USING (o_custkey) GROUP BY c_mktsegment")
 both("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
 both("join_right", "SELECT c_custkey, o_orderkey FROM {orders} RIGHT JOIN {customer} ON c_custkey = o_custkey AND o_totalprice > 300000")
-both("join_anti_pattern", "SELECT c_custkey, c_name FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+both("join_anti_pattern", "SELECT c_custkey, c_name FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey AND o_totalprice > 250000 WHERE o_orderkey IS NULL")
 both("join_semi", "SELECT c_custkey, c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 both("join_in_subquery", "SELECT count(*) AS n FROM {lineitem} WHERE l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P')")
 both("join_full", "SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} WHERE c_acctbal > 5000 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM {supplier} GROUP BY 1) b ON a.k = b.k")
@@ -114,7 +114,7 @@ both("fn_string", "SELECT p_partkey, upper(p_name) AS u, substr(p_type, 1, 5) AS
 both("fn_string_regex", "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS num, regexp_replace(p_type, '[aeiou]', '_', 'g') AS masked, regexp_matches(p_name, '^[a-m]') AS early FROM {part}", {", '_', 'g')": ", '_')", "regexp_matches(": "regexp_like("})
 both("fn_date_interval", "SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(extract(doy FROM o_orderdate) AS INT) AS doy, o_orderdate + INTERVAL '6 hour' AS later FROM {orders} WHERE o_orderdate >= DATE '1995-06-01'", {"date_trunc('month', o_orderdate)": "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ)", "INTERVAL '6 hour'": "INTERVAL '6' HOUR"})
 both("fn_cast_case", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS DOUBLE) / 2 AS half, TRY_CAST(l_returnflag AS INT) AS bad, coalesce(nullif(l_returnflag, 'N'), '?') AS flag, greatest(l_tax, l_discount) AS hi, least(l_tax, l_discount) AS lo FROM {lineitem}")
-both("fn_math", "SELECT l_orderkey, l_linenumber, floor(l_extendedprice) AS fl, ceil(l_tax * 10) AS ce, abs(l_tax - l_discount) AS ab, round(power(l_quantity, 2), 2) AS sq, round(sqrt(l_extendedprice), 4) AS rt, round(ln(l_quantity), 6) AS lg, round(log10(l_quantity), 6) AS lt, sign(l_discount - 0.05) AS sg, l_linenumber % 3 AS md FROM {lineitem} WHERE l_orderkey < 800", {"floor(l_extendedprice)": "CAST(floor(l_extendedprice) AS DOUBLE)", "ceil(l_tax * 10)": "CAST(ceil(l_tax * 10) AS DOUBLE)", "sign(l_discount - 0.05)": "CAST(sign(l_discount - 0.05D) AS TINYINT)"})
+both("fn_math", "SELECT l_orderkey, l_linenumber, floor(l_extendedprice) AS fl, ceil(l_tax * 10) AS ce, abs(l_tax - l_discount) AS ab, round(power(l_quantity, 2), 2) AS sq, round(sqrt(l_extendedprice), 4) AS rt, round(ln(l_quantity), 6) AS lg, round(log10(l_quantity), 6) AS lt, sign(l_discount - 0.05) AS sg, l_linenumber % 3 AS md FROM {lineitem}", {"floor(l_extendedprice)": "CAST(floor(l_extendedprice) AS DOUBLE)", "ceil(l_tax * 10)": "CAST(ceil(l_tax * 10) AS DOUBLE)", "sign(l_discount - 0.05)": "CAST(sign(l_discount - 0.05D) AS TINYINT)"})
 both("fn_hash", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s FROM {customer}", {"sha256(c_name)": "sha2(c_name, 256)"})
 both("fn_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.v') AS v FROM {events}", {"json_extract_string(": "get_json_object("})
 both("fn_array", "SELECT n_regionkey, len(list(n_name)) AS n, list_contains(list(n_name), 'FRANCE') AS has FROM {nation} GROUP BY n_regionkey", {"len(list(n_name))": "CAST(size(collect_list(n_name)) AS BIGINT)", "list_contains(list(n_name), 'FRANCE')": "array_contains(collect_list(n_name), 'FRANCE')"})
@@ -122,14 +122,30 @@ both("fn_unnest", "SELECT n_name, x FROM {nation}, unnest([n_nationkey, n_region
 both("fn_series", "SELECT CAST(x AS BIGINT) AS x, CAST(x * x AS BIGINT) AS sq FROM generate_series(1, 100) t(x)", {"generate_series(1, 100) t(x)": "(SELECT explode(sequence(1, 100)) AS x) t"})
 both("fn_epoch", "SELECT event_id, epoch_us(ts) AS us FROM {events}", {"epoch_us(ts)": "unix_micros(CAST(ts AS TIMESTAMP))"})
 both("fn_date_bin", "SELECT time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS slot, count(*) AS n FROM {events} GROUP BY 1", {"time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01')": "CAST(window(ts, '15 minutes').start AS TIMESTAMP_NTZ)"})
+both("fn_map_struct", "SELECT event_id, list_extract(element_at(MAP {'type': event_type, 'user': CAST(user_id AS VARCHAR)}, 'type'), 1) AS kind, CAST(cardinality(MAP {'a': user_id, 'b': event_id}) AS INT) AS n, struct_extract(struct_pack(u := user_id, v := value), 'v') AS v FROM {events}", {"list_extract(element_at(MAP {'type': event_type, 'user': CAST(user_id AS VARCHAR)}, 'type'), 1)": "element_at(map('type', event_type, 'user', CAST(user_id AS STRING)), 'type')", "MAP {'a': user_id, 'b': event_id}": "map('a', user_id, 'b', event_id)", "struct_extract(struct_pack(u := user_id, v := value), 'v')": "named_struct('u', user_id, 'v', value).v"})
+both("fn_encode", "SELECT c_custkey, base64(encode(c_name)) AS b64, hex(c_name) AS hx, decode(from_base64(base64(encode(c_mktsegment)))) AS back FROM {customer}", {"base64(encode(c_name))": "base64(encode(c_name, 'UTF-8'))", "decode(from_base64(base64(encode(c_mktsegment))))": "decode(unbase64(base64(encode(c_mktsegment, 'UTF-8'))), 'UTF-8')"})
+both("fn_time_parse", "SELECT o_orderkey, strptime(strftime(o_orderdate, '%Y/%m/%d %H:%M'), '%Y/%m/%d %H:%M') AS parsed, make_timestamp(o_orderkey * 1000000) AS from_unix, o_orderdate < now() AS past, current_date > CAST(o_orderdate AS DATE) AS before_today FROM {orders}", {"strptime(strftime(o_orderdate, '%Y/%m/%d %H:%M'), '%Y/%m/%d %H:%M')": "CAST(to_timestamp(date_format(o_orderdate, 'yyyy/MM/dd HH:mm'), 'yyyy/MM/dd HH:mm') AS TIMESTAMP_NTZ)", "make_timestamp(o_orderkey * 1000000)": "CAST(timestamp_seconds(o_orderkey) AS TIMESTAMP_NTZ)", "o_orderdate < now()": "o_orderdate < CAST(now() AS TIMESTAMP_NTZ)", "current_date >": "current_date() >"})
 # --- shapes of everyday reports
 both("recon_status_case", "SELECT o_orderkey, CASE WHEN n IS NULL THEN 'items_missing' WHEN abs(o_totalprice - total) > 50000 THEN 'amount_drift' ELSE 'ok' END AS status, round(coalesce(total, 0), 2) AS total FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice) AS total FROM {lineitem} WHERE l_returnflag <> 'R' GROUP BY l_orderkey) l ON o_orderkey = l_orderkey")
 both("login_storm", "SELECT user_id, count(*) AS n, max(value) AS top FROM {events} WHERE event_type = 'click' GROUP BY user_id HAVING count(*) >= 5")
 both("usage_ratio", "SELECT c_mktsegment, round(sum(o_totalprice) / nullif(count(DISTINCT c_custkey), 0), 2) AS per_head, round(CAST(count(*) AS DOUBLE) / count(DISTINCT c_custkey), 4) AS orders_each FROM {customer} JOIN {orders} ON c_custkey = o_custkey GROUP BY c_mktsegment")
 
 
-@register("agg_approx")
+#: Bounds of the sketches: relative error of the distinct count (3 standard errors of 2 %), and of the median's rank, which is a whole row.
+COUNT_ERROR, RANK_ERROR = 0.06, 0.001
+
+
+@register(
+    "agg_approx",
+    "SELECT o_orderstatus, count(*) AS n, true AS customers_near, true AS median_near FROM orders GROUP BY o_orderstatus",
+)
 def agg_approx(spark, sf_dir):
-    """Sketches: distinct customers, quantiles of prices by status. Approximate, so without an oracle."""
+    """Sketches of distinct customers and of the median price, held in Spark against the exact values: near if in bounds."""
     o = table(spark, sf_dir, "orders")
-    return o.groupBy("o_orderstatus").agg(F.approx_count_distinct("o_custkey").alias("customers"), F.percentile_approx("o_totalprice", 0.5).alias("median_price"))
+    found = o.groupBy("o_orderstatus").agg(F.approx_count_distinct("o_custkey", COUNT_ERROR / 3).alias("customers"), F.percentile_approx("o_totalprice", 0.5, int(1 / RANK_ERROR)).alias("price"))
+    exact = o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("real"))
+    below = o.join(found, "o_orderstatus").groupBy("o_orderstatus").agg(F.avg((F.col("o_totalprice") < F.col("price")).cast("double")).alias("low"), F.avg((F.col("o_totalprice") <= F.col("price")).cast("double")).alias("high"))
+    near = F.abs(F.col("customers") - F.col("real")) <= COUNT_ERROR * F.col("real")
+    slack = RANK_ERROR + 1 / F.col("n")
+    middle = (F.col("low") - slack <= 0.5) & (F.col("high") + slack >= 0.5)
+    return found.join(exact, "o_orderstatus").join(below, "o_orderstatus").select("o_orderstatus", "n", near.alias("customers_near"), middle.alias("median_near"))
