@@ -9,6 +9,7 @@ import datetime as dt
 import json
 import os
 import tempfile
+import uuid
 
 import pyarrow.parquet as pq
 import yaml
@@ -312,7 +313,7 @@ def stream_windows(spark, sf_dir):
     e.write.parquet(f"{folder}/in/a")
     e.limit(1).selectExpr("event_id", "ts + INTERVAL '1000' DAY AS ts", "user_id", "'end' AS event_type", "value", "props").write.parquet(f"{folder}/in/b")
     stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{folder}/in")
-    out = tumbling_counts(stream.withColumn("ts", stream["ts"].cast("timestamp")), late="2000 days").writeStream.format("memory").queryName("w" + folder.rsplit("/", 1)[-1].replace("_", "")).outputMode("update").trigger(availableNow=True).start()
+    out = tumbling_counts(stream.withColumn("ts", stream["ts"].cast("timestamp")), late="2000 days").writeStream.format("memory").queryName("w" + uuid.uuid4().hex).outputMode("update").trigger(availableNow=True).start()
     out.awaitTermination()
     found = spark.table(out.name).groupBy("start", "event_type").agg({"n": "max"})
     return found.where("event_type <> 'end'").selectExpr("CAST(start AS TIMESTAMP_NTZ) AS start", "event_type", "`max(n)` AS n")
