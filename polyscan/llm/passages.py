@@ -3,8 +3,9 @@
 A text is a sequence of tokens, its shingles of SHINGLE = 5 words. Passages have LENGTH tokens or more (50 words). For each hash function, the
 Cartesian tree of the token hashes groups the subsequences by their least hash: a node at token c with the smaller tokens l - 1
 and r + 1 nearest to it on both sides is the compact window (l, c, r), of all subsequences that begin in l..c and end in
-c..r. Only nodes whose window holds LENGTH tokens count. They are the top of the tree, and just the minima of the
-subsequences of LENGTH tokens, so running minima find them and a stack joins them to the tree.
+c..r (`tree`). Only nodes whose window holds LENGTH tokens count. They are the top of the tree, and just the minima of the
+subsequences of LENGTH tokens, so running minima find them. Of a window only the subsequences of LENGTH tokens are asked for:
+it is held as the run of their starts, which ends where the running minimum changes.
 
 Two functions' windows of a text are joined by interval: where they overlap in a subsequence of LENGTH tokens around both minima, all
 its subsequences there share both least hashes. That is one record, keyed by the two hashes. Documents that meet under one
@@ -28,9 +29,10 @@ document does not count; an empty table gives no rows; other columns are not rea
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,23 +53,58 @@ LINKED = np.dtype([("key", "<u8"), ("a", "<i8"), ("b", "<i8")])
 PLACE = np.uint64(0xFFFF)
 
 
-class Words:
-    """Texts -> arrays of 32-bit word hashes; remembers words."""
+#: Words are hashed as polynomials in PRIME, those of so many bytes of text together.
+PRIME = 0x9E3779B97F4A7C15
+TEXTS = 1 << 18
+_FOLDED = np.array([x + 33 if 65 <= x <= 90 else x + 1 for x in range(256)], np.uint64)
+_BLANK = np.array([x == 32 or 9 <= x <= 13 for x in range(256)])
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of PRIME and of its inverse modulo 2**64, from 0 to size - 1."""
+    out = []
+    for x in (PRIME, pow(PRIME, -1, 1 << 64)):
+        steps = np.full(size, x, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def _hashed(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of bytes whose last is blank the words' beginnings and hashes."""
+    power, inverse = _powers(1 << (len(data) - 1).bit_length())
+    edges = np.flatnonzero(blank != np.r_[True, blank[:-1]])
+    begin, end = edges[::2], edges[1::2]
+    terms = _FOLDED[data] * power[: len(data)]
+    total = np.cumsum(terms)
+    h = mix64((total[end - 1] - total[begin] + terms[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    return begin, (h >> np.uint64(32)).astype(np.uint32)
+
+
+def word_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Texts -> arrays of 32-bit hashes of their words."""
+    data = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", np.uint8)
+    blank = _BLANK[data]
+    begins, found, at = [], [], 0
+    while at < len(data):
+        stop = min(at + TEXTS, len(data))
+        last = np.flatnonzero(blank[at:stop])[-1:]
+        # no word is cut: one longer than TEXTS makes the piece longer
+        stop = at + int(last[0]) + 1 if len(last) else stop + int(blank[stop:].argmax()) + 1
+        begin, h = _hashed(data[at:stop], blank[at:stop])
+        begins.append(begin + at)
+        found.append(h)
+        at = stop
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    return np.split(np.concatenate(found), np.searchsorted(np.concatenate(begins), ends[:-1]))
 
-    def __init__(self):
-        self.seen: dict[bytes, int] = {}
+
+class Words:
+    """A text -> the array of its words' hashes."""
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()
-        if len(self.seen) > 400_000:
-            self.seen.clear()
-        seen, out = self.seen, []
-        for w in words:
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = xxhash.xxh32_intdigest(w)
-            out.append(h)
-        return np.array(out, np.uint32)
+        return word_hashes([text])[0]
 
 
 def tokens(words: np.ndarray) -> np.ndarray:
@@ -84,15 +121,15 @@ def tokens(words: np.ndarray) -> np.ndarray:
 
 
 def minima(h: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The least hash of every subsequence of `length` tokens (running minima of blocks from both sides)."""
+    """The least hash of every subsequence of `length` tokens, by doubled lengths."""
     n = len(h) - length + 1
     if n <= 0:
         return h[:0]
-    pad = -len(h) % length
-    x = np.concatenate([h, np.full(pad, np.uint64(2**64 - 1))]).reshape(-1, length)
-    down = np.minimum.accumulate(x, axis=1).ravel()
-    up = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(up[:n], down[length - 1 : length - 1 + n])
+    width = 1
+    while 2 * width <= length:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    return np.minimum(h[:n], h[length - width : length - width + n])
 
 
 def tree(value: list[int], place: list[int], first: list[int], last: list[int]) -> tuple[list[int], list[int]]:
@@ -116,36 +153,34 @@ def joined(t: np.ndarray, begin: np.ndarray, docs: np.ndarray) -> tuple[np.ndarr
     of = np.repeat(np.arange(len(docs)), np.diff(begin))
     starts = np.arange(len(t) - LENGTH + 1)
     starts = starts[of[starts] == of[starts + LENGTH - 1]]
+    if not len(starts):
+        return np.empty(0, RECORD), np.empty(0, np.int64), np.empty(0, np.int64)
     place = np.arange(len(t), dtype=np.uint64) & PLACE
 
+    fresh = np.ones(len(starts), bool)  # starts of another text than the one before
+    fresh[1:] = np.diff(starts) > 1
+
     def windows(k: int):
+        """Of each start its node's hash and place."""
         h = mix64(t ^ np.uint64(0xA24BAED4963EE407 * (k + 1) & (2**64 - 1))) & ~PLACE | place
-        c = starts + ((minima(h)[starts] - starts.astype(np.uint64)) & PLACE).astype(np.int64)
-        c = c[np.flatnonzero(np.r_[True, c[1:] != c[:-1]])] if len(c) else c
-        own = of[c]
-        least = h[c] & ~PLACE
+        least = minima(h)[starts]
         # equal hashes: the earlier token is the less
-        l, r = tree(least.tolist(), c.tolist(), begin[own].tolist(), (begin[own + 1] - 1).tolist())
-        return least, c, np.array(l, np.int64), np.array(r, np.int64)
+        return least & ~PLACE, starts + ((least - starts.astype(np.uint64)) & PLACE).astype(np.int64)
 
     out, lows, highs = [], [], []
     for band in range(BANDS):
-        a, b = windows(2 * band), windows(2 * band + 1)
-        lo, hi = np.searchsorted(b[1], a[1] - LENGTH + 1), np.searchsorted(b[1], a[1] + LENGTH)
-        many = hi - lo
-        i = np.repeat(np.arange(len(many)), many)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many - lo, many)
-        ca, cb = a[1][i], b[1][j]
-        low = np.maximum(np.maximum(a[2][i], b[2][j]), np.maximum(ca, cb) - LENGTH + 1)
-        high = np.minimum(np.minimum(ca, cb), np.minimum(a[3][i], b[3][j]) - LENGTH + 1)
-        real = np.flatnonzero((low <= high) & (of[ca] == of[cb]))
-        r = np.empty(len(real), RECORD)
-        r["key"] = mix64(a[0][i[real]] ^ (b[0][j[real]] * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(band))
-        r["apart"] = (cb - ca)[real].astype(np.int16).view(np.uint16)
-        r["doc"] = docs[of[ca[real]]]
+        (a, ca), (b, cb) = windows(2 * band), windows(2 * band + 1)
+        # Two windows overlap in the starts from where either begins to where either ends
+        begins = fresh.copy()
+        begins[1:] |= (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])
+        low = np.flatnonzero(begins)
+        r = np.empty(len(low), RECORD)
+        r["key"] = mix64(a[low] ^ (b[low] * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(band))
+        r["apart"] = (cb[low] - ca[low]).astype(np.int16).view(np.uint16)
+        r["doc"] = docs[of[starts[low]]]
         out.append(r)
-        lows.append(low[real])
-        highs.append(high[real])
+        lows.append(starts[low])
+        highs.append(starts[np.r_[low[1:], len(starts)] - 1])
     return np.concatenate(out), np.concatenate(lows), np.concatenate(highs)
 
 
@@ -163,9 +198,16 @@ def all_tokens(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokenise(batches):
-    words, squeeze = Words(), zstandard.ZstdCompressor(level=3)
+    squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        found = [squeeze.compress(words(t).tobytes()) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        found, held, size = [], [], 0
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
+        for n, t in enumerate(texts):
+            held.append(t)
+            size += len(t or b"")
+            if size > TEXTS or n == len(texts) - 1:
+                found += [squeeze.compress(w.tobytes()) for w in word_hashes(held)]
+                held, size = [], 0
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["rid", "id", "words"])
 
 
@@ -214,14 +256,29 @@ def _emit(parts: int):
     return run
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique of records, sorted field by field."""
+    x = x[np.lexsort([x[name] for name in reversed(x.dtype.names)])]
+    new = np.zeros(len(x), bool)
+    new[:1] = True
+    for name in x.dtype.names:
+        new[1:] |= x[name][1:] != x[name][:-1]
+    return x[new]
+
+
 def star(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Records -> links (a > b as numbers) of documents that meet under a key, and the least record of each key and distance.
 
     One link a record, to the least document of the same distance, and one a distance, to the least of all.
     """
-    x = x[np.lexsort((x["doc"], x["apart"], x["key"]))]
+    order = np.argsort(x["key"].copy())
+    key = x["key"][order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    alone = (new & np.r_[new[1:], True])[: len(x)]
+    lone, x = x[order[alone]], x[order[~alone]]
     if not len(x):
-        return np.empty(0, LINKED), x
+        return np.empty(0, LINKED), lone
+    x = x[np.lexsort((x["doc"], x["apart"], x["key"]))]
     key, doc = x["key"], x["doc"]
     group = np.r_[True, key[1:] != key[:-1]]
     sub = group | np.r_[True, x["apart"][1:] != x["apart"][:-1]]
@@ -232,7 +289,7 @@ def star(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b, keys = a[differ], b[differ], np.concatenate([key, key[sub]])[differ]
     found = np.empty(len(a), LINKED)
     found["key"], found["a"], found["b"] = keys, np.maximum(a, b), np.minimum(a, b)
-    return np.unique(found), x[sub]
+    return _distinct(found), np.concatenate([x[sub], lone])
 
 
 def _candidates(table: pa.Table) -> pa.Table:
@@ -242,10 +299,10 @@ def _candidates(table: pa.Table) -> pa.Table:
     """
     records = [np.frombuffer(x, RECORD) for x in table.column("block").to_pylist() if x]
     known = [np.frombuffer(x, LINKED) for x in table.column("links").to_pylist() if x]
-    found = np.unique(np.concatenate([star(np.concatenate(records))[0] if records else np.empty(0, LINKED), *known]))
+    found = _distinct(np.concatenate([star(np.concatenate(records))[0] if records else np.empty(0, LINKED), *known]))
     both = np.empty(2 * len(found), np.dtype([("key", "<u8"), ("doc", "<i8")]))
     both["key"], both["doc"] = np.tile(found["key"], 2), np.concatenate([found["a"], found["b"]])
-    keys, count = np.unique(np.unique(both)["key"], return_counts=True)
+    keys, count = np.unique(_distinct(both)["key"], return_counts=True)
     if len(found):
         found["key"] = np.where(count[np.searchsorted(keys, found["key"])] > 2, found["key"], np.uint64(0))
     return pa.table({"key": pa.array(found["key"].view(np.int64)), "a": pa.array(found["a"]), "b": pa.array(found["b"])})
@@ -261,7 +318,9 @@ def _regions(parts: int):
         wanted = np.repeat(np.arange(len(keys)), [len(k) for k in keys]) * len(names) + key
         rank = np.minimum(np.searchsorted(names, found["key"]), len(names) - 1)
         at = np.flatnonzero((names[rank] == found["key"]) & np.isin(found["doc"] * len(names) + rank, wanted))
-        places = np.unique(np.stack([found["doc"][at], found["key"][at].view(np.int64), starts[at], ends[at]], 1), axis=0)
+        places = np.stack([found["doc"][at], found["key"][at].view(np.int64), starts[at], ends[at]], 1)
+        places = places[np.lexsort(places.T[::-1])]
+        places = places[np.r_[True, (places[1:] != places[:-1]).any(axis=1)][: len(places)]]
         low = (t >> np.uint64(32)).astype(np.uint32)
         key = np.ascontiguousarray(places[:, 1])
         blob = [low[s : e + LENGTH].tobytes() for s, e in zip(places[:, 2].tolist(), places[:, 3].tolist())]
@@ -389,9 +448,12 @@ def _within(q: list[np.ndarray]) -> bool:
     return False
 
 
-def shared_starts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The subsequences of LENGTH tokens of a of which SHARE stand within LENGTH tokens of b, and which tokens of a are in b."""
-    order = np.argsort(b)
+def shared_starts(a: np.ndarray, b: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The subsequences of LENGTH tokens of a of which SHARE stand within LENGTH tokens of b, and which tokens of a are in b.
+
+    order: np.argsort(b), where it is known.
+    """
+    order = np.argsort(b) if order is None else order
     sorted_b = b[order]
     lo = np.minimum(np.searchsorted(sorted_b, a), len(b) - 1)
     hit = sorted_b[lo] == a
@@ -457,11 +519,11 @@ def shared_starts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return good[sure], hit
 
 
-def shared_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+def shared_spans(a: np.ndarray, b: np.ndarray, order: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Stretches of words [start, end) of a of which b has a passage of similarity 0.8."""
     if len(a) < LENGTH or len(b) < LENGTH:
         return []
-    good, hit = shared_starts(a, b)
+    good, hit = shared_starts(a, b, order)
     out: list[list[int]] = []
     for i in good.tolist():
         if out and i <= out[-1][1]:
@@ -490,11 +552,20 @@ _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
 def _verify(batches):
+    last = tb = order = None
     for batch in batches:
         rows = []
         for a, b, wa, wb in zip(*(c.to_pylist() for c in batch.columns)):
-            ta, tb = tokens(_loose(wa)), tokens(_loose(wb))
-            sa = shared_spans(ta, tb)
+            if wa == wb:  # copies: all that has LENGTH tokens
+                n = len(_loose(wa))
+                if n >= LENGTH + SHINGLE - 1:
+                    rows.append((a, b, [{"s": 0, "e": n}], [{"s": 0, "e": n}]))
+                continue
+            ta = tokens(_loose(wa))
+            if wb != last:  # pairs come sorted by b
+                last, tb = wb, tokens(_loose(wb))
+                order = np.argsort(tb)
+            sa = shared_spans(ta, tb, order)
             if sa:
                 sb = shared_spans(tb, ta)
                 if sb:

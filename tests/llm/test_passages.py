@@ -1,4 +1,5 @@
 import random
+import sys
 
 import numpy as np
 
@@ -195,3 +196,44 @@ def test_in_key_covers_and_connects_like_all_pairs():
             return good, root
 
         assert covered(passages.in_key(list(range(n)), regions)) == covered([(i, j) for i in range(n) for j in range(i)])
+
+
+def test_joined_windows_are_those_of_the_tree_within_a_subsequence():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 400, 500)  # ties
+    n = passages.LENGTH
+    least = [min(range(i, i + n), key=lambda k: (h[k], k)) for i in range(len(h) - n + 1)]
+    nodes = sorted(set(least))
+    left, right = passages.tree([int(h[c]) for c in nodes], nodes, [0] * len(nodes), [len(h) - 1] * len(nodes))
+    for c, l, r in zip(nodes, left, right):
+        runs = [i for i, k in enumerate(least) if k == c]
+        assert runs == list(range(max(l, c - n + 1), min(c, r - n + 1) + 1))
+
+
+def test_words_of_texts_hashed_together():
+    texts = [b"A bb\tAa-c\x0bd", None, b"", b" \n ", b"aa-C  a", "Été é x\x00 \x00x a".encode(), b"z" * 700_000 + b" a " + b"a a " * 200_000, b"a"]
+    got = passages.word_hashes(texts)
+    words = [(t or b"").lower().split() for t in texts]
+    assert [len(h) for h in got] == [len(w) for w in words]
+    flat = [(w, int(v)) for ws, hs in zip(words, got) for w, v in zip(ws, hs)]
+    assert len({w for w, _ in flat}) == len({v for _, v in flat}) == len(set(flat))
+    assert all((passages.Words()(t) == h).all() for t, h in zip(texts, got))
+
+
+def test_no_call_for_each_word_or_window():
+    rng = random.Random(8)
+    some = prose(rng, 3000)
+    texts = [" ".join(rng.choices(some, k=600)).encode() for _ in range(100)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        t, begin = passages.all_tokens(passages.word_hashes(texts))
+        passages.star(passages.joined(t, begin, np.arange(len(texts)))[0])
+    finally:
+        sys.setprofile(None)
+    assert calls < 60_000 / 20
