@@ -322,8 +322,11 @@ def _regions(parts: int):
         places = places[np.lexsort(places.T[::-1])]
         places = places[np.r_[True, (places[1:] != places[:-1]).any(axis=1)][: len(places)]]
         low = (t >> np.uint64(32)).astype(np.uint32)
-        key = np.ascontiguousarray(places[:, 1])
-        blob = [low[s : e + LENGTH].tobytes() for s, e in zip(places[:, 2].tolist(), places[:, 3].tolist())]
+        once = {}  # equal regions of one document and key need comparing once
+        for k, (doc, key, s, e) in enumerate(places.tolist()):
+            once.setdefault((doc, key, low[s : e + LENGTH].tobytes()), k)
+        places = places[list(once.values())]
+        key, blob = np.ascontiguousarray(places[:, 1]), [x[2] for x in once]
         rid = np.array(rids, np.int64)[places[:, 0]]
         return pa.RecordBatch.from_arrays([pa.array(_dealt(key.view(np.uint64), parts)), pa.array(key), pa.array(rid), pa.array(blob, pa.binary())], ["part", "key", "rid", "region"])
 

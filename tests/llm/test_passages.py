@@ -237,3 +237,16 @@ def test_no_call_for_each_word_or_window():
     finally:
         sys.setprofile(None)
     assert calls < 60_000 / 20
+
+
+def test_equal_regions_of_a_document_are_compared_once():
+    rng = random.Random(6)
+    line = prose(rng, 61)
+    words = [passages.word_hashes([" ".join(line * n + prose(rng, 80)).encode()])[0] for n in (9, 1)]
+    t, begin = passages.all_tokens(words)
+    keys = np.unique(passages.joined(t, begin, np.arange(2))[0]["key"]).view(np.int64).tolist()
+    blobs = [passages.zstandard.ZstdCompressor().compress(w.tobytes()) for w in words]
+    batch = passages.pa.RecordBatch.from_arrays([passages.pa.array([4, 5]), passages.pa.array(blobs), passages.pa.array([keys, keys])], ["rid", "words", "keys"])
+    rows = [(r["key"], r["rid"], r["region"]) for b in passages._regions(7)(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) == len(set(rows))
+    assert {k for k, rid, _ in rows if rid == 4} | {k for k, rid, _ in rows if rid == 5} == set(keys)
