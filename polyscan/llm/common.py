@@ -30,9 +30,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/polyscan/{name}-{uuid.uuid4().hex}"
 
 
-def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there and lost executors cost nothing."""
+#: Rows of a file of a shared table whose number of rows is known.
+FILE_ROWS = 250_000
+
+
+def shared_table(spark: SparkSession, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there and lost executors cost nothing.
+
+    rows: how many narrow rows it has at most, if known. They are written by a task for FILE_ROWS of them, and by as many as run at
+    once at least: for every file on a local disk Hadoop has the executor spawn processes that set its mode, which share
+    the executor's memory until they have begun and are counted with it a second time.
+    """
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,16 +69,17 @@ def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b"
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     e = shared_table(spark, e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    rows = 2 * e.count()  # a step makes no more edges than there were, and at most as many nodes as two ends an edge
     seen = None
     for _ in range(rounds):
         made = [e]
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = shared_table(spark, both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "low")
+        low = shared_table(spark, both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "low", rows)
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = shared_table(spark, large.distinct(), "large")
-        low2 = shared_table(spark, large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        large = shared_table(spark, large.distinct(), "large", rows)
+        low2 = shared_table(spark, large.groupBy("a").agg(F.min("b").alias("m")), "low", rows)
         small = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        nxt = shared_table(spark, small.unionByName(low2.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        nxt = shared_table(spark, small.unionByName(low2.select("a", F.col("m").alias("b"))).distinct(), "edges", rows)
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         for t in [*made, low, large, low2]:
             drop_table(spark, t)

@@ -175,7 +175,7 @@ def links(spark: SparkSession, fps: DataFrame, n: int, radius: int = RADIUS, buc
     parts = max(48, n * 131 // GROUP)
     first = fps.select("fp").mapInArrow(_emit(projected_keys(radius), parts), BLOCKS).groupBy("part").applyInArrow(_verify(radius, bucket), "a long, b long")
     first = shared_table(spark, first, "links")
-    big = shared_table(spark, first.where("a = b").select(F.col("a").alias("fp")).distinct(), "big")
+    big = shared_table(spark, first.where("a = b").select(F.col("a").alias("fp")).distinct(), "big", n)
     many = big.count()
     out = first.where("a <> b")
     if many:
@@ -188,10 +188,11 @@ def links(spark: SparkSession, fps: DataFrame, n: int, radius: int = RADIUS, buc
 def classes(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, id: str = "doc_id") -> DataFrame:
     """fps (id, fp) -> one row a distinct fingerprint: fp, component_id (the smallest id of its component)."""
     reps = shared_table(spark, fps.groupBy("fp").agg(F.min(id).alias("low")), "fps")
-    joined = components(spark, links(spark, reps, reps.count(), radius))
+    n = reps.count()
+    joined = components(spark, links(spark, reps, n, radius))
     rooted = reps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = shared_table(spark, rooted, "rooted")
-    low = shared_table(spark, rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    rooted = shared_table(spark, rooted, "rooted", n)
+    low = shared_table(spark, rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows", n)
     return rooted.select("fp", "root").join(low, "root").select("fp", "component_id")
 
 
@@ -209,9 +210,10 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
     fps = shared_table(spark, fingerprints(keyed, text, (id, "__key")), "docfps")
     best = F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("__key").alias("key")))
     reps = shared_table(spark, fps.groupBy("fp").agg(best.alias("best"), F.count("*").alias("m")), "fps")
-    joined = components(spark, links(spark, reps, reps.count(), radius))
+    n = reps.count()
+    joined = components(spark, links(spark, reps, n, radius))
     rooted = reps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = shared_table(spark, rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("__key")), "kept")
+    kept = shared_table(spark, rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias("__key")), "kept", n)
     out = keyed.join(kept, "__key", "left_semi")
     # Equal rows share a key; one of them stays
     twice = shared_table(spark, fps.groupBy("__key").agg(F.count("*").alias("m")).where("m > 1").select("__key"), "twice")
