@@ -42,7 +42,7 @@ def odd_events(folder, kinds, n=1000):
     return str(folder)
 
 
-ODD = {"jsonl": ['a"b', "c\\d", "e, f", "}", "ü\u2028", "line\nend", "", None], "csv": ['a"b', "c\\d", "e, f", " g ", "ü\u2028", "line\nend", "\"", None], "logfmt": ['a"b', "c\\d", "e= f", "\\\"", "ü", "", None]}
+ODD = {"jsonl": ['a"b', "c\\d", "e, f", "}", "ü\u2028", "line\nend", "", None], "csv": ['a"b', "c\\d", "e, f", " g ", "ü\u2028", "line\nend", "\"", None], "logfmt": ['a"b', "c\\d", "e= f", "\\\"", "ü", "", None], "regex": ['a"b', "c\\d", "e, f", "[g", "ü", ""]}
 
 
 @pytest.mark.parametrize("fmt", sorted(ODD))
