@@ -51,6 +51,11 @@ def test_formats(spark, sf_dir, tmp_path, small_files, fmt):
     check(spark, odd_events(tmp_path, ODD[fmt]), f"src_{fmt}")
 
 
+def test_syslog(spark, sf_dir, tmp_path, small_files):
+    check(spark, sf_dir, "src_syslog")
+    check(spark, odd_events(tmp_path, ['a"b', "c\\d", "[e]", "<f>", "ü", None]), "src_syslog")
+
+
 def test_executors_index_several_files(spark, sf_dir, small_files):
     table = sourced.events_table(sf_dir, "jsonl", spark)
     scan = rows_file.rows_file_scan("t", {}, table)
