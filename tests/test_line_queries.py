@@ -56,6 +56,17 @@ def test_syslog(spark, sf_dir, tmp_path, small_files):
     check(spark, odd_events(tmp_path, ['a"b', "c\\d", "[e]", "<f>", "ü", None]), "src_syslog")
 
 
+def test_glob_pruned(spark, sf_dir, tmp_path, small_files, monkeypatch):
+    """Files in order of time, so that most are skipped whole."""
+    made = []
+    monkeypatch.setattr(sourced, "write_lines", lambda *a, write=sourced.write_lines: made.append(write(*a)) or made[-1])
+    check(spark, sf_dir, "src_glob_pruned")
+    table = {"glob": made[0], "parser": {"format": "jsonl", "columns": [{"name": "ts", "path": "$.ts", "type": "timestamp"}]}, "indexed_columns": [{"name": "ts", "kind": "zone_map"}]}
+    ranges = [c["stats"]["ts"]["range"] for p in rows_file.rows_file_scan("t", {}, table).files() for c in index.refresh(table, p)[0].chunks]
+    assert len(ranges) >= 5 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+    check(spark, odd_events(tmp_path, ['a"b', "c\\d", "ü", None]), "src_glob_pruned")
+
+
 def test_executors_index_several_files(spark, sf_dir, small_files):
     table = sourced.events_table(sf_dir, "jsonl", spark)
     scan = rows_file.rows_file_scan("t", {}, table)
