@@ -67,6 +67,11 @@ def test_glob_pruned(spark, sf_dir, tmp_path, small_files, monkeypatch):
     check(spark, odd_events(tmp_path, ['a"b', "c\\d", "ü", None]), "src_glob_pruned")
 
 
+def test_stream_tail(spark, sf_dir, tmp_path, small_files):
+    check(spark, sf_dir, "stream_tail")
+    check(spark, odd_events(tmp_path, ODD["jsonl"]), "stream_tail")
+
+
 def test_executors_index_several_files(spark, sf_dir, small_files):
     table = sourced.events_table(sf_dir, "jsonl", spark)
     scan = rows_file.rows_file_scan("t", {}, table)
