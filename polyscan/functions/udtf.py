@@ -52,10 +52,9 @@ def _value(a: AnalyzeArgument | None):
     return a.value
 
 
-def _rows(scan):
-    for part in scan.partitions():
-        for batch in scan.read(part):
-            yield from (tuple(r.values()) for r in batch.to_pylist())
+def _rows(batches):
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
 
 
 class RestTable:
@@ -64,16 +63,22 @@ class RestTable:
         return AnalyzeResult(T.StructType(rest_scan_of(_value(url), _value(config)).schema.fields))
 
     def eval(self, url: str, config: str = None):
-        yield from _rows(rest_scan_of(url, config))
+        yield from _rows(rest_scan_of(url, config).read(None))
 
 
 class RowsFileTable:
+    """Files are read whole, without an index, as nothing is ruled out.
+
+    Spark holds all rows of one call in a worker's memory; the path may be a column, so that many files take a call each (LATERAL).
+    """
+
     @staticmethod
     def analyze(path: AnalyzeArgument, config: AnalyzeArgument) -> AnalyzeResult:
-        return AnalyzeResult(T.StructType(rows_file_scan_of(_value(path), _value(config)).schema.fields))
+        at = path.value if path.isConstantExpression else "of each row"
+        return AnalyzeResult(T.StructType(rows_file_scan_of(at, _value(config)).schema.fields))
 
     def eval(self, path: str, config: str):
-        yield from _rows(rows_file_scan_of(path, config))
+        yield from _rows(rows_file_scan_of(path, config).whole())
 
 
 def register(spark: SparkSession) -> None:

@@ -1,6 +1,7 @@
 """Queries that write line files: by the executors, without the rows in the driver, in several files, with odd values."""
 
 import datetime as dt
+import json
 
 import duckdb
 import pyarrow as pa
@@ -72,6 +73,19 @@ def test_stream_tail(spark, sf_dir, tmp_path, small_files):
     check(spark, odd_events(tmp_path, ODD["jsonl"]), "stream_tail")
 
 
+def test_udtf_rows_file(spark, sf_dir, tmp_path, small_files):
+    """The files are read once, without an index."""
+    check(spark, sf_dir, "udtf_rows_file")
+    check(spark, odd_events(tmp_path, ODD["jsonl"]), "udtf_rows_file")
+    table = sourced.events_table(sf_dir, "jsonl", spark)
+    config = json.dumps({"parser": table["parser"]})
+    got = spark.sql(f"SELECT event_id, ts, user_id, event_type, value FROM rows_file_table('{table['glob']}', config => '{config}')")
+    want = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type", "value")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    scan = rows_file.rows_file_scan("t", {}, table)
+    assert all(map(index.late, scan.files()))
+
+
 def test_executors_index_several_files(spark, sf_dir, small_files):
     table = sourced.events_table(sf_dir, "jsonl", spark)
     scan = rows_file.rows_file_scan("t", {}, table)
