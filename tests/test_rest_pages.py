@@ -60,6 +60,18 @@ def test_a_filter_is_evaluated_once_a_row_group(monkeypatch, tmp_path):
     assert len(asked) == 15 and len(calls) == 2 * 3  # counted, and read
 
 
+def test_pages_follow_the_rows():
+    """At 60 times sf0.1 there are 2,250 pages of 400, more than a source's default lets pass."""
+    assert sourced.page_limit(15_000) == 1000 and sourced.page_limit(900_000) >= 2251 and sourced.page_limit(901_001) >= 2254
+
+
+def test_more_pages_than_the_default(monkeypatch):
+    monkeypatch.setattr(sourced, "CUSTOMER_PAGE", 10)
+    asked = []
+    batches = list(scan_of(monkeypatch, "/root/testdata/sf0.1", "page", asked).read(None))
+    assert sum(b.num_rows for b in batches) == 15_000 and len(asked) == 1501
+
+
 def test_filters_on_numbers_and_empty_tables(tmp_path):
     t = pa.table({"k": [1, 2, None, 2], "s": ["a", "b", "b", None]})
     pq.write_table(t, f"{tmp_path}/t.parquet", row_group_size=2)
